@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import bytewise as bw
 from tidemill.llm.components import connected_components
-from tidemill.llm.store import bounded_batches, cut, width
+from tidemill.llm.shards import block_pairs, runs
+from tidemill.llm.store import bounded_batches, cut
 
 SLOTS, PER_CHUNK, BITS = 64, 4, 16
 CHUNKS = SLOTS // PER_CHUNK
@@ -104,50 +105,6 @@ def _masked_keys(sig: Column) -> Column:
     return F.array(*keys)
 
 
-def _block_pairs(df: DataFrame, blocks: str, by: list[str], *salt: str) -> DataFrame:
-    """Deal each row, by a hash of salt, into one of so many blocks, and repeat it for each pair (i <= j) that has its block."""
-    block = F.pmod(F.xxhash64(*salt, F.lit(3)), F.col(blocks))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
-    df = df.withColumn("block", block)
-    return (
-        df.filter(f"{blocks} = 1").withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")})
-        .unionByName(df.filter(f"{blocks} > 1").withColumn("x", other).withColumns({"i": F.least("block", "x"), "j": F.greatest("block", "x")}).drop("x"))
-        .repartition(width(df.sparkSession), *by, "i", "j")
-        .sortWithinPartitions(*by, "i", "j")
-    )
-
-
-def _runs(batches: Iterator[pa.RecordBatch], n_keys: int, target: int = 1 << 15) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Gather sorted batches into tables that hold whole runs of equal keys, the first n_keys columns; with the runs' starts."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-
-    def starts(t: pa.Table) -> np.ndarray:
-        new = np.zeros(t.num_rows, bool)
-        new[:1] = True
-        for c in range(n_keys):
-            x = t.column(c).to_numpy()
-            new[1:] |= x[1:] != x[:-1]
-        return np.flatnonzero(new)
-
-    for b in batches:
-        if b.num_rows == 0:
-            continue
-        held.append(b)
-        rows += b.num_rows
-        if rows >= target:
-            t = pa.Table.from_batches(held).combine_chunks()
-            s = starts(t)
-            if len(s) > 1:
-                yield t.slice(0, s[-1]), s[:-1]
-            held = t.slice(s[-1]).to_batches()
-            rows = t.num_rows - int(s[-1])
-            target = max(1 << 15, 2 * rows)
-    if held:
-        t = pa.Table.from_batches(held).combine_chunks()
-        yield t, starts(t)
-
-
 def _column(t: pa.Table, name: str) -> np.ndarray:
     return t.column(name).to_numpy()
 
@@ -190,7 +147,7 @@ class _Joined:
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each run of a key's rows, edges that span the graph of signatures at most MAX_DISTANCE apart."""
-    for t, starts in _runs(batches, 3):
+    for t, starts in runs(batches, 3):
         doc, sig, block = _column(t, "doc_id"), _sigs(t), _column(t, "block")
         two_blocks = _column(t, "i") != _column(t, "j")
         run = np.zeros(t.num_rows, np.int64)
@@ -226,7 +183,7 @@ def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirm(percent: int):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each run of a cluster's rows, links that span the graph of sets of Jaccard similarity percent / 100."""
-        for t, starts in _runs(batches, 3, 1 << 10):
+        for t, starts in runs(batches, 3, 1 << 10):
             for lo, hi in zip(starts, [*starts[1:], t.num_rows], strict=True):
                 if hi - lo < 2:
                     continue
@@ -289,7 +246,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("key", F.ceil(F.col("n") / BLOCK_DOCS).alias("blocks"))
     )
     members = keys.join(held, "key").join(nodes.select(F.col("lo").alias("doc_id"), "sig"), "doc_id").select("key", "doc_id", "sig", "blocks")
-    dealt = _block_pairs(members, "blocks", ["key"], "doc_id").select("key", "i", "j", "doc_id", "block", "sig")
+    dealt = block_pairs(members, "blocks", ["key"], "doc_id").select("key", "i", "j", "doc_id", "block", "sig")
     clusters = cut(connected_components(dealt.mapInArrow(_near, "a long, b long")), "clusters")
     # the sets of clustered documents, once more from their texts
     inside = clusters.join(nodes.select(F.col("lo").alias("node"), "sig", "d1", "d2", "n_shingles"), "node")
@@ -297,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inside = inside.join(sized, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks", "sig", "d1", "d2", "n_shingles")
     texts = inside.join(rows, "doc_id").select("doc_id", "cluster", "blocks", "sig", *same, "text")
     sets = texts.mapInArrow(_own_sets, "doc_id long, cluster long, blocks long, sig array<long>, shingles array<long>")
-    dealt = _block_pairs(sets, "blocks", ["cluster"], "doc_id").select("cluster", "i", "j", "doc_id", "block", "sig", "shingles")
+    dealt = block_pairs(sets, "blocks", ["cluster"], "doc_id").select("cluster", "i", "j", "doc_id", "block", "sig", "shingles")
     links = dealt.mapInArrow(_confirm(percent), "a long, b long")
     twins = known.join(lowest.filter("n > 1").select(*same, "lo"), same).select(F.col("doc_id").alias("a"), F.col("lo").alias("b"))
     found = connected_components(links.union(twins))

@@ -12,6 +12,7 @@ from tidemill.llm.decontaminate import decontaminate
 from tidemill.llm.exact_dedup import exact_duplicates
 from tidemill.llm.licenses import scan_licenses
 from tidemill.llm.near_dedup import near_duplicates
+from tidemill.llm.substrings import remove_repeats
 from tidemill.llm.tokens import token_files_of
 
 TOKENIZER = "word_bpe_49k.json"
@@ -76,3 +77,8 @@ FROM n WINDOW same AS (PARTITION BY t)
 @query
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("places")
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), kept=False)
