@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import langid
+from tidemill.llm import langid, quality
 from tidemill.llm.decontaminate import decontaminate
 from tidemill.llm.exact_dedup import exact_duplicates
 from tidemill.llm.licenses import scan_licenses
@@ -82,3 +82,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), kept=False)
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
