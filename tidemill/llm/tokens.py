@@ -32,7 +32,7 @@ from tidemill.llm.store import bounded_batches, cut, new_path, width
 
 MAX_BITS, CHECKPOINT = 16, 256
 #: Remembered words (a power of two), and ids that they may have in all before all are forgotten.
-CACHE_BITS, CACHE_IDS = 19, 1 << 22
+CACHE_BITS, CACHE_IDS = 22, 1 << 24
 
 
 def load_tokenizer(path: str):
@@ -55,7 +55,7 @@ class WordTokenizer:
     def __init__(self, path: str, end_id: int, by_word: bool):
         self.tokenizer, self.by_word, self.end_id = load_tokenizer(path), by_word, end_id
         self.key = np.zeros(1 << CACHE_BITS, np.uint64)
-        self.at = np.zeros(1 << CACHE_BITS, np.int64)
+        self.at = np.zeros(1 << CACHE_BITS, np.int32)
         self.size = np.full(1 << CACHE_BITS, -1, np.int32)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.forget()
@@ -89,7 +89,7 @@ class WordTokenizer:
         w = bw.words(s, bw.NOT_SPACE, lower=False)
         slot = (w.hash >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
         hit = (self.key[slot] == w.hash) & (self.size[slot] >= 0)
-        at, size = self.at[slot], self.size[slot].astype(np.int64)
+        at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
         miss = np.flatnonzero(~hit)
         if len(miss):
             new, first, back = np.unique(w.hash[miss], return_index=True, return_inverse=True)
@@ -107,6 +107,16 @@ class WordTokenizer:
         return self.pool[bw.ranges(units, sizes)], counts
 
 
+#: Of this process, so that what a worker remembers lasts from task to task.
+_tokenizers: dict[tuple, WordTokenizer] = {}
+
+
+def _tokenizer(*how) -> WordTokenizer:
+    if how not in _tokenizers:
+        _tokenizers[how] = WordTokenizer(*how)
+    return _tokenizers[how]
+
+
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
     """Bits of each symbol in an optimal prefix code of at most limit bits (package-merge); 0 where the count is 0."""
     out = np.zeros(len(counts), np.int64)
@@ -215,9 +225,8 @@ _BLOCKS = "pid int, before long, n_ids long, doc_ids array<long>, sizes array<in
 
 def _tokenise(path: str, end_id: int, by_word: bool, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, before, tokenizer = TaskContext.get().partitionId(), 0, None
+        pid, before, tokenizer = TaskContext.get().partitionId(), 0, _tokenizer(path, end_id, by_word)
         for b in batches:
-            tokenizer = tokenizer or WordTokenizer(path, end_id, by_word)
             for s in bw.slices(b.column(1)):
                 ids, sizes = tokenizer.encode(s)
                 one = lambda x, t: pa.array([x], t)
