@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemill.llm import langid, quality
 from tidemill.llm.decontaminate import decontaminate
 from tidemill.llm.exact_dedup import exact_duplicates
+from tidemill.llm.html_extract import extract_main_text
 from tidemill.llm.licenses import scan_licenses
 from tidemill.llm.near_dedup import near_duplicates
 from tidemill.llm.substrings import remove_repeats
@@ -90,3 +91,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.score_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
