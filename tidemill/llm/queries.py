@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import langid, quality
+from tidemill.llm import langid, mixing, quality
 from tidemill.llm.decontaminate import decontaminate
 from tidemill.llm.exact_dedup import exact_duplicates
 from tidemill.llm.html_extract import extract_main_text
@@ -96,3 +96,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
+
+
+ORACLES["op7_mix_sources"] = mixing.mixing_sql()
