@@ -62,8 +62,11 @@ class Slice:
         return len(self.offsets) - 1
 
 
-def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[Slice]:
-    """Cut an Arrow string or binary array into runs of rows of about limit bytes; a longer text is a run of its own."""
+def slices(texts: pa.Array, limit: int = 1 << 17) -> Iterator[Slice]:
+    """Cut an Arrow string or binary array into runs of rows of about limit bytes; a longer text is a run of its own.
+
+    The default keeps arrays of 8 bytes a byte of text in a core's cache.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:

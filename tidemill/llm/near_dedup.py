@@ -37,7 +37,7 @@ _MUL = (_rng.integers(0, 2**32, (2, SLOTS), dtype=np.uint64) | np.uint64(1)).ast
 _XOR = _rng.integers(0, 2**32, SLOTS, dtype=np.uint64).astype(np.uint32)
 
 
-def shingle_sets(texts: pa.Array, k: int = SHINGLE, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def shingle_sets(texts: pa.Array, k: int = SHINGLE, limit: int = 1 << 17) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, flat sorted hashes, each row's count) of rows' sets of distinct k-word shingles."""
     for s in bw.slices(texts, limit):
         w = bw.words(s, bw.NOT_SPACE)

@@ -3,7 +3,8 @@
 A string of 200 bytes is ordered by its least 40-byte hash, its anchor; equal strings have equal anchors at equal
 places. Neighbouring strings of a document that share an anchor are one segment, so that each string is in exactly one.
 Segments whose anchor is nowhere else need no look; equal segments repeat as a whole and are found by their counts.
-What is left, different segments around equal anchors, is dealt by anchor into shards. In a shard a suffix array is
+What is left, different segments around equal anchors, is dealt into shards by the anchor and the bytes before or after
+it, of which a shared string holds 80 on one side at least. In a shard a suffix array is
 built by Larsson-Sadakane refinement (ranks of doubled prefixes, only of suffixes not yet told apart), neighbours'
 common prefixes are measured up to 200 bytes, and strings as long as that are repeated. An anchor with many segments is
 dealt into several shards: each pair of them is merged by binary search of one's strings in the other's suffix array.
@@ -34,14 +35,23 @@ def gram_length(length: int) -> int:
     return max(1, length // 5)
 
 
+def side(length: int) -> int:
+    """A string that holds an anchor holds so many bytes before it, or as many after it."""
+    return (length - gram_length(length)) // 2
+
+
 def segments(s: bw.Slice, length: int) -> tuple[np.ndarray, ...]:
-    """(row, first start, number of starts, anchor's offset, anchor hash, digest) of each segment of a slice."""
+    """(row, first start, number of starts, anchor's offset, anchor hash, digest, sides) of each segment of a slice.
+
+    sides holds, in its upper and lower 32 bits, hashes of the side() bytes before and after the anchor, or 0 where no
+    string of the segment holds as many there.
+    """
     k = gram_length(length)
     w = length - k + 1
     none = np.zeros(0, np.int64)
     n = len(s.data)
     if n < length:
-        return none, none, none, none, none, none
+        return (none,) * 7
     prefix = bw.prefix_hashes(s.data)
     at = np.arange(n - k + 1)
     h = bw.span_hashes(prefix, at, at + k)
@@ -57,7 +67,7 @@ def segments(s: bw.Slice, length: int) -> tuple[np.ndarray, ...]:
     size = np.maximum(np.diff(s.offsets) - length + 1, 0)
     start = bw.ranges(s.offsets[:-1], size)
     if not len(start):
-        return none, none, none, none, none, none
+        return (none,) * 7
     row = np.repeat(np.arange(s.rows), size)
     own = anchor[start]
     new = np.ones(len(start), bool)
@@ -66,15 +76,21 @@ def segments(s: bw.Slice, length: int) -> tuple[np.ndarray, ...]:
     many = np.diff(np.append(first, len(start)))
     begin, a, row = start[first], own[first], row[first]
     digest = bw.span_hashes(prefix, begin, begin + many + length - 1)
-    return row, begin - s.offsets[row], many, a - begin, h[a].view(np.int64), digest.view(np.int64)
+    near = side(length)
+    sides = np.zeros(len(a), np.uint64)
+    for shift, ok, start, end in ((32, a - near >= begin, a - near, a), (0, a + k + near <= begin + many + length - 1, a + k, a + k + near)):
+        x = np.flatnonzero(ok)
+        half = bw.span_hashes(prefix, start[x], end[x]) >> np.uint64(32)
+        sides[x] |= np.maximum(half, np.uint64(1)) << np.uint64(shift)
+    return row, begin - s.offsets[row], many, a - begin, h[a].view(np.int64), digest.view(np.int64), sides.view(np.int64)
 
 
 def _segments(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in bw.slices(b.column(1)):
-                row, first, many, off, anchor, digest = segments(s, length)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(s.first + row)), pa.array(first << 32 | many << 16 | off), pa.array(anchor), pa.array(digest)], ["k", "place", "anchor", "digest"])
+                row, first, many, off, anchor, digest, sides = segments(s, length)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(s.first + row)), pa.array(first << 32 | many << 16 | off), pa.array(anchor), pa.array(digest), pa.array(sides)], ["k", "place", "anchor", "digest", "sides"])
 
     return run
 
@@ -97,7 +113,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     every = np.arange(n)
     first = words_at(data, every)
-    sa = np.argsort(first, kind="stable")
+    sa = np.argsort(first)
     key = first[sa]
     new = np.ones(n, bool)
     new[1:] = key[1:] != key[:-1]
@@ -112,8 +128,8 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
             break
         own = sa[place]
         further = np.where(own + h < n, rank[np.minimum(own + h, n - 1)] + 1, 0)
-        order = np.lexsort((further, group[place]))
-        own, further, old = own[order], further[order], group[place]
+        order = np.argsort(group[place].astype(np.uint64) << np.uint64(32) | further.astype(np.uint64))
+        own, further, old = own[order], further[order], group[place]  # groups stay at their places
         sa[place] = own
         split = np.ones(len(place), bool)
         split[1:] = (old[1:] != old[:-1]) | (further[1:] != further[:-1])
@@ -188,8 +204,10 @@ def _repeats(length: int):
             many = (place >> 16) & 0xFFFF
             hit_rows, hit_starts = [], []
             single = i == j
-            # all whole groups of the table are one shard
+            # all whole groups of the table are one shard, a segment of two groups there once
             own = np.flatnonzero(single)
+            order = own[np.lexsort((place[own], k[own]))]
+            own = order[np.append(True, (k[order[1:]] != k[order[:-1]]) | (place[order[1:]] != place[order[:-1]]))] if len(own) else own
             if len(own):
                 part = np.concatenate([data[base[r] : base[r] + size[r]] for r in own])
                 at = np.cumsum(size[own]) - size[own]
@@ -288,13 +306,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # a row is known by its doc_id, or, if those repeat or miss, by a hash of doc_id and text: equal rows lose the same
     plain = rows.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").isEmpty()
     rows = rows.withColumn("k", F.col("doc_id") if plain else F.xxhash64("doc_id", "text"))
-    every = rows.select("k", "text").mapInArrow(_segments(length), "k long, place long, anchor long, digest long")
+    every = rows.select("k", "text").mapInArrow(_segments(length), "k long, place long, anchor long, digest long, sides long")
     shape = (F.col("place") % (1 << 32)).alias("shape")
-    again = every.groupBy("anchor").agg(F.count("*").alias("total")).filter("total > 1").select("anchor")
-    live = cut(every.join(again, "anchor"), "segments")
-    distinct = cut(live.groupBy("anchor", "digest", shape).agg(F.count("*").alias("n"), F.min(F.struct("k", "place")).alias("one")), "distinct-segments")
-    several = distinct.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select("anchor", F.ceil(F.col("m") / BLOCK_SEGMENTS).alias("blocks"))
-    look = distinct.join(several, "anchor").select("anchor", "one.k", "one.place", "n", "blocks")
+    again = cut(every.groupBy("anchor").agg(F.count("*").alias("total")).filter("total > 1").select("anchor"), "repeated-anchors")
+    live = cut(every.join(again, "anchor"), "segments")  # of both sides exchanged, a frequent anchor's can be split
+    distinct = live.groupBy("anchor", "digest", shape, "sides").agg(F.count("*").alias("n"), F.min(F.struct("k", "place")).alias("one"))
+    distinct = cut(distinct, "distinct-segments")
+    # different segments can only share a string if they share the bytes on one side of the anchor
+    halves = F.array_compact(F.array(F.when(F.shiftright("sides", 32) != 0, F.xxhash64("anchor", F.shiftright("sides", 32))), F.when(F.col("sides").bitwiseAND(2**32 - 1) != 0, F.xxhash64("anchor", F.col("sides").bitwiseAND(2**32 - 1), F.lit(1)))))
+    grouped = distinct.select(F.explode(halves).alias("anchor"), "one.k", "one.place", "n")
+    several = cut(grouped.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 AND least = 1").select("anchor", F.ceil(F.col("m") / BLOCK_SEGMENTS).alias("blocks")), "shared-sides")
+    look = grouped.join(several, "anchor").select("anchor", "k", "place", "n", "blocks")
     wanted = look.groupBy("k").agg(F.collect_list(F.struct("anchor", "place", "n", "blocks")).alias("wanted"))  # bounded by the document
     pieces = rows.select("k", "text").join(wanted, "k").select("k", "wanted", "text").mapInArrow(_cut_out(length), "anchor long, k long, place long, n long, blocks long, bytes binary")
     dealt = block_pairs(pieces, "blocks", ["anchor"], "k", "place").select("anchor", "i", "j", "block", "k", "place", "n", "bytes")
