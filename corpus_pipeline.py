@@ -17,27 +17,24 @@ from tidemill.llm.tokens import token_files_of
 MIN_SHARE = 0.5
 
 
-def _those(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids; null ones are kept."""
-    known = docs.filter("doc_id IS NOT NULL").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    return known.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
-
-
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no language for MIN_SHARE of their letters, go; so do empty ones."""
-    found = identify(docs, fit(docs), spans=False)
-    return _those(docs, found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SHARE)))
+    """Documents without a letter, null and empty ones too, or with no language for MIN_SHARE of their letters, go."""
+    found = identify(docs, fit(docs), spans=False, keep_row=True)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SHARE)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return _those(docs, near_duplicates(docs).filter("kept"))
+    """Of each group of near-duplicates the document with the smallest doc_id stays. Rows that repeat a doc_id are one
+    document; rows without one are linked with nothing and stay."""
+    kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    known = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
+    return known.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _those(docs, found.filter("n_hit = 0"))
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_row=True)
+    return found.filter("n_hit = 0").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

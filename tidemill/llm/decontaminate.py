@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import bytewise as bw
-from tidemill.llm.store import bounded_batches, cut
+from tidemill.llm.store import bounded_batches, cut, with_row
 
 WINDOW, GRAM = 10, 5
 NEIGHBOURS = WINDOW - GRAM + 1
@@ -166,7 +166,8 @@ def _scan(shared):
             for s in bw.slices(b.column("text")):
                 w = bw.words(s, bw.ALNUM)
                 item, start, end = extend(w, p, *_found(w, p))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(s.first, s.rows), *_rows_of(w, s.rows, item, start, end, p.items)], ["doc_id", "n_words", "n_hit", "items", "spans"])
+                own = b.slice(s.first, s.rows)
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), *_rows_of(w, s.rows, item, start, end, p.items), *own.columns[2:]], ["doc_id", "n_words", "n_hit", "items", "spans", *b.schema.names[2:]])
 
     return run
 
@@ -215,8 +216,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(s.first, s.rows).set_column(at, "n_words", pa.array(np.diff(w.first)))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_shared: int = MAX_SHARED) -> DataFrame:
-    """doc_id, n_words, n_hit, items, spans: one row for each row of docs.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_shared: int = MAX_SHARED, keep_row: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, items, spans and, if keep_row, row (docs' own columns): one row for each row of docs.
 
     Words are runs of 0-9, a-z, A-Z (without case) and characters beyond ASCII. A window is ten consecutive words of an
     item; an item of fewer words, but not none, is one window. n_hit counts the document's words inside any occurrence
@@ -228,13 +229,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.struct("*").alias("row")] * keep_row)
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
     # an item gives at most its length in fingerprints
     if (items.agg(F.sum(F.length("text"))).first()[0] or 0) <= 2 * max_shared:
         got = items.toArrow().combine_chunks()
         p = postings(got.column("item_id").to_pylist(), got.column("text").combine_chunks())
-        return rows.mapInArrow(_scan(spark.sparkContext.broadcast(p)), f"doc_id long, {_OUT}")
+        return rows.mapInArrow(_scan(spark.sparkContext.broadcast(p)), with_row(f"doc_id long, {_OUT}", rows))
     return _by_shuffle(rows, items)
 
 
@@ -252,8 +253,9 @@ def _by_shuffle(rows: DataFrame, items: DataFrame) -> DataFrame:
     spans = both.mapInArrow(_extend_pairs, "h1 long, h2 long, item_id string, first_word long, end_word long")
     span = "array<struct<first_word: long, end_word: long, item_id: string>>"
     per_text = spans.groupBy("h1", "h2").agg(F.array_sort(F.collect_set(F.struct("first_word", "end_word", "item_id"))).alias("s"))
-    counted = docs.select("doc_id", "h1", "h2", "text").mapInArrow(_count_words, "doc_id long, h1 long, h2 long, n_words long")
+    carried = [c for c in ("row",) if c in docs.columns]
+    counted = docs.select("doc_id", "h1", "h2", "text", *carried).mapInArrow(_count_words, with_row("doc_id long, h1 long, h2 long, n_words long", docs))
     joined = counted.join(per_text, ["h1", "h2"], "left").withColumn("s", F.coalesce("s", F.array().cast(span)))
     zero = F.lit(0).cast("long")
     hit = F.aggregate("s", F.struct(zero.alias("n"), zero.alias("to")), lambda acc, x: F.struct((acc.n + F.greatest(zero, x.end_word - F.greatest(acc.to, x.first_word))).alias("n"), F.greatest(acc.to, x.end_word).alias("to")), lambda acc: acc.n)
-    return joined.select("doc_id", "n_words", hit.alias("n_hit"), F.array_sort(F.array_distinct(F.transform("s", lambda x: x.item_id))).alias("items"), F.transform("s", lambda x: F.struct(x.item_id.alias("item_id"), x.first_word.alias("first_word"), x.end_word.alias("end_word"))).alias("spans"))
+    return joined.select("doc_id", "n_words", hit.alias("n_hit"), F.array_sort(F.array_distinct(F.transform("s", lambda x: x.item_id))).alias("items"), F.transform("s", lambda x: F.struct(x.item_id.alias("item_id"), x.first_word.alias("first_word"), x.end_word.alias("end_word"))).alias("spans"), *carried)

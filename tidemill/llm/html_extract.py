@@ -192,7 +192,11 @@ def _page(r: random.Random) -> tuple[str, str]:
     heading = f"<h1>\x01{title}\x02</h1>" if r.random() < 0.92 else ""
     if r.random() < 0.25:
         heading += box("div", "byline meta share", few(2, 6))
-    body = heading + "".join(paragraph() for _ in range(r.choice([1, 2, 3, 5, 8, 12, 18])))
+    if r.random() < 0.2:  # hardly anything
+        heading = heading or f"<h1>\x01{title}\x02</h1>"
+        body = heading + "".join(f"<p>\x01{few(2, 12)}{r.choice(['.', ''])}\x02{end('p')}" for _ in range(r.randint(0, 2)))
+    else:
+        body = heading + "".join(paragraph() for _ in range(r.choice([1, 2, 3, 5, 8, 12, 18])))
     comments = box("section", "comments comment-list discussion replies", f"<h3>{few(1, 3)}</h3>" + "".join(f'<div class="{r.choice(["comment", "reply", "comment-body"])}"><b>{word()}</b><p>{prose(1, 4)}</p></div>' for _ in range(r.randint(1, 5)))) if r.random() < 0.35 else ""
     inner_comments = r.random() < 0.3
     article = box("article", "article post content entry story main-content", body + comments * inner_comments)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import bytewise as bw
-from tidemill.llm.store import bounded_batches
+from tidemill.llm.store import bounded_batches, with_row
 
 TABLE_BITS = 16
 #: Languages learned at most (the most frequent), and expected labelled documents of each that are learned from.
@@ -186,7 +186,8 @@ def _label(model_of, spans: bool):
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(row[begin], minlength=b.num_rows))]).astype(np.int32)
                 cols.append(pa.ListArray.from_arrays(pa.array(offsets), struct))
                 kept.append("spans")
-            yield pa.RecordBatch.from_arrays(cols, kept)
+            cols += b.columns[2:]
+            yield pa.RecordBatch.from_arrays(cols, [*kept, *b.schema.names[2:]])
 
     return run
 
@@ -210,8 +211,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return learn(got.column("text").to_pylist(), got.column("lang").to_pylist())
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
-    """doc_id, lang_pred, score and spans (first_word, end_word, lang): one row for each row of docs.
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = True, keep_row: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score, spans (first_word, end_word, lang) and, if keep_row, row (docs' own columns): one row for each row of docs.
 
     Words are runs of a-z, A-Z and characters beyond ASCII. lang_pred is the language of most of a text's letters, as
     bytes; score their share. A null text, or one without a letter, is "und" with score 0 and no spans or, of symbols,
@@ -220,11 +221,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<first_word: long, end_word: long, lang: string>>" * spans
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.struct("*").alias("row")] * keep_row)
+    span = "array<struct<first_word: long, end_word: long, lang: string>>"
     if not model.languages:
-        empty = [F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")]
-        if spans:
-            empty.append(F.array().cast("array<struct<first_word: long, end_word: long, lang: string>>").alias("spans"))
-        return rows.select("doc_id", *empty)
-    return rows.mapInArrow(_label(spark.sparkContext.broadcast(model), spans), schema)
+        empty = [F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *[F.array().cast(span).alias("spans")] * spans]
+        return rows.select("doc_id", *empty, *["row"] * keep_row)
+    return rows.mapInArrow(_label(spark.sparkContext.broadcast(model), spans), with_row(f"doc_id long, lang_pred string, score double{f', spans {span}' * spans}", rows))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Bytes of one Arrow batch sent to Python (a row more, at most); bounds a worker's memory with long texts.
 BATCH_BYTES = 4 << 20
@@ -40,3 +41,8 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_row(schema: str, rows: DataFrame) -> T.StructType:
+    """A schema, with rows' column "row" if it has one."""
+    return T.StructType([*T._parse_datatype_string(schema).fields, *[f for f in rows.schema.fields if f.name == "row"]])
