@@ -85,20 +85,23 @@ def write_binary(df: DataFrame, folder: str, name: str, data: str) -> int:
     return df.select(name, data).mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def raster(segments: str, size: int = 64, top: int = 255) -> Column:
-    """Segments ((x0, y0), (x1, y1)) of 0..top drawn as a binary portable graymap of size * size points."""
+def rastered(df: DataFrame, segments: str, name: str = "image", size: int = 64, top: int = 255) -> DataFrame:
+    """df with a column of images: segments ((x0, y0), (x1, y1)) of 0..top drawn as a binary portable graymap."""
     import numpy as np
+    from pyspark.sql import types as T
 
-    def draw(rows: pd.Series) -> pd.Series:
-        out = []
-        for row in rows:
-            image = np.zeros((size, size), np.uint8)
-            for s in row if row is not None else ():
-                n = 2 * max(abs(s["x1"] - s["x0"]), abs(s["y1"] - s["y0"]), 1)
-                t = np.linspace(0, 1, n + 1)
-                x, y = (np.clip(np.rint((s[a] + t * (s[b] - s[a])) * (size - 1) / top), 0, size - 1).astype(int) for a, b in (("x0", "x1"), ("y0", "y1")))
-                image[y, x] = 255
-            out.append(b"P5 %d %d 255\n" % (size, size) + image.tobytes())
-        return pd.Series(out)
-
-    return F.pandas_udf(draw, "binary")(F.col(segments))
+    def draw(row: list | None) -> bytes:
+        image = np.zeros((size, size), np.uint8)
+        for s in row if row is not None else ():
+            n = 2 * max(abs(s["x1"] - s["x0"]), abs(s["y1"] - s["y0"]), 1)
+            t = np.linspace(0, 1, n + 1)
+            x, y = (np.clip(np.rint((s[a] + t * (s[b] - s[a])) * (size - 1) / top), 0, size - 1).astype(int) for a, b in (("x0", "x1"), ("y0", "y1")))
+            image[y, x] = 255
+        return b"P5 %d %d 255\n" % (size, size) + image.tobytes()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.drop(columns=[segments]).assign(**{name: [draw(x) for x in b[segments]]})
+
+    rest = df.drop(segments)
+    return df.select(*rest.columns, segments).mapInPandas(run, T.StructType([*rest.schema.fields, T.StructField(name, T.BinaryType())]))
