@@ -41,6 +41,17 @@ def test_dynamic_sessions_and_touching_ends(spark):
     assert sorted(((r.session_start - T0).seconds, (r.session_end - T0).seconds) for r in touching) == [(0, 7), (7, 12)]
 
 
+def test_sessions_by_stretches_are_the_same(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(r.choice(["a", "a", "a", "b", None]), at(r.randrange(0, 4000)), float(r.choice([0, 5, 60, 700]))) for _ in range(600)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, gap double")
+    for gap in (F.col("gap"), 4):
+        plain, cut = (sorted(map(str, W.sessions(df, ["k"], "ts", gap, F.sum("gap").alias("g"), bucket=b).collect())) for b in (None, "1 minute"))
+        assert plain == cut and len(plain) > 3
+
+
 @pytest.mark.parametrize("few", [True, False])
 def test_first_range_that_holds_an_event(spark, few):
     ranges = spark.createDataFrame([("s1", 0, 100, 1), ("s2", 100, 200, 2), ("s3", 200, 300, 3)], "s string, start bigint, stop bigint, ord int")

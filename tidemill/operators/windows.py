@@ -34,22 +34,44 @@ def day(ts: str) -> Column:
     return F.date_trunc("day", F.col(ts))
 
 
-def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_seconds: Column | float, *measures: Column) -> DataFrame:
+def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_seconds: Column | float, *measures: Column, bucket: str | None = None) -> DataFrame:
     """keys, session_start, session_end, n and measures of each key's sessions.
 
     An event lasts gap_seconds, a number or a column of each row's own. Events belong together while one begins before
     the latest end so far; one that begins just then opens a session. Null keys are a key; null times go; gaps that are
     null or below 0 count as 0.
+
+    With bucket, a length of time, a key's events are sorted by such stretches, each its own task's work, and only the
+    stretches' latest ends and counts of sessions are carried on: for keys that hold much of the data. The result is
+    the same.
     """
     gap = gap_seconds if isinstance(gap_seconds, Column) else F.lit(float(gap_seconds))
     micros = (F.greatest(F.coalesce(gap.cast("double"), F.lit(0.0)), F.lit(0.0)) * 1_000_000).cast("long")
     ended = df.filter(F.col(ts).isNotNull()).withColumn("__end", F.col(ts) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (micros / 1_000_000).cast("decimal(18,6)")))
-    along = Window.partitionBy(*keys).orderBy(ts, "__end")
-    opened = ended.withColumn("__reach", F.max("__end").over(along.rowsBetween(Window.unboundedPreceding, -1))).withColumn("__new", (F.col("__reach").isNull() | (F.col(ts) >= F.col("__reach"))).cast("int"))
+    by = list(keys)
+    if bucket:
+        by.append("__bucket")
+        ended = ended.withColumn("__bucket", F.window(ts, bucket).start)
+        before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        reached = ended.groupBy(*by).agg(F.max("__end").alias("__latest")).withColumn("__carried", F.max("__latest").over(before))
+        ended = _beside(ended, reached.drop("__latest"), by)
+    along = Window.partitionBy(*by).orderBy(ts, "__end")
+    reach = F.max("__end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    opened = ended.withColumn("__reach", F.greatest(reach, "__carried") if bucket else reach).withColumn("__new", (F.col("__reach").isNull() | (F.col(ts) >= F.col("__reach"))).cast("int"))
     islands = opened.withColumn("__session", F.sum("__new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    if bucket:
+        counted = islands.groupBy(*by).agg(F.sum("__new").alias("__many")).withColumn("__earlier", F.coalesce(F.sum("__many").over(before), F.lit(0)))
+        islands = _beside(islands, counted.drop("__many"), by).withColumn("__session", F.col("__session") + F.col("__earlier"))
     return islands.groupBy(*keys, "__session").agg(F.min(ts).alias("session_start"), F.max("__end").alias("session_end"), F.count("*").alias("n"), *measures).drop("__session")
 
 
+def _beside(df: DataFrame, more: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df with more's other columns, by keys that may be null; each is in more once."""
+    renamed = more.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c for c in more.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return df.join(renamed, same).drop(*[f"__k{i}" for i in range(len(keys))])
+
+
 def gap_or(value: Column, default: float) -> Column:
     """A row's own gap in seconds, or default where it is no number."""
     return F.coalesce(value.cast("string").try_cast("double"), F.lit(float(default)))
