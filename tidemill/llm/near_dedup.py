@@ -235,8 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = cut(rows.mapInArrow(_sign, "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>"), "signed")
     known = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     same = ["d1", "d2", "n_shingles"]
-    lowest = known.groupBy(*same).agg(F.min("doc_id").alias("lo"), F.count("*").alias("n"), F.first("sig").alias("sig"))
-    nodes = cut(lowest, "nodes")  # a row for each distinct set
+    nodes = cut(known.groupBy(*same).agg(F.min("doc_id").alias("lo"), F.count("*").alias("n"), F.first("sig").alias("sig")), "nodes")  # a row for each distinct set
     # keys, and of keys with the same documents one
     keys = nodes.select(F.col("lo").alias("doc_id"), F.explode(_masked_keys(F.col("sig"))).alias("key"))
     held = (
@@ -256,7 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = texts.mapInArrow(_own_sets, "doc_id long, cluster long, blocks long, sig array<long>, shingles array<long>")
     dealt = block_pairs(sets, "blocks", ["cluster"], "doc_id").select("cluster", "i", "j", "doc_id", "block", "sig", "shingles")
     links = dealt.mapInArrow(_confirm(percent), "a long, b long")
-    twins = known.join(lowest.filter("n > 1").select(*same, "lo"), same).select(F.col("doc_id").alias("a"), F.col("lo").alias("b"))
+    twins = known.join(nodes.filter("n > 1").select(*same, "lo"), same).select(F.col("doc_id").alias("a"), F.col("lo").alias("b"))
     found = connected_components(links.union(twins))
     return (
         signed.select("doc_id", "n_shingles")
