@@ -18,7 +18,7 @@ from tidemill.llm.store import cut
 
 SWEEPS = 10
 #: Without given targets, a category's share is its share of tokens to this power, normalised.
-TEMPERATURE = 0.5
+TEMPERATURE = 0.75
 #: Cells that the driver rakes; more are raked as a table.
 MAX_CELLS = 100_000
 UNKNOWN = "unknown"
