@@ -135,3 +135,9 @@ def stroke_segments(drawing: Column | str) -> Column:
         )
 
     return F.flatten(F.transform(col(drawing), of))
+
+
+def entity(kind: str, key: Column | str, **properties: Column | str) -> Column:
+    """A JSON entity: its key, and each property in a wrapper that names its type."""
+    wrapped = [F.struct(col(c).alias(name)).alias(name) for name, c in properties.items()]
+    return F.to_json(F.struct(F.struct(F.lit(kind).alias("kind"), col(key).alias("name")).alias("key"), F.struct(*wrapped).alias("properties")))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.sizes import small_side
 
@@ -92,6 +93,25 @@ def as_map(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("map"))
 
 
+def combined(df: DataFrame, keys: Sequence[str], columns: Sequence[str], f: Callable, schema: str) -> DataFrame:
+    """keys and f's row of each group, for aggregates that built-in functions can't say: f takes a pandas DataFrame of the
+    columns and gives a tuple. A group is one task's; for groups of bounded size."""
+    import pandas as pd
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *f(group[list(columns)]))])
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    names = [f.name for f in T._parse_datatype_string(f"{kinds}, {schema}").fields]
+    return df.select(*keys, *[c for c in columns if c not in keys]).groupBy(*keys).applyInPandas(lambda key, group: run(key, group).set_axis(names, axis=1), f"{kinds}, {schema}")
+
+
+def observed(df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, Observation]:
+    """df, and metrics over its rows that are there once it has been run."""
+    watch = Observation(name)
+    return df.observe(watch, *metrics), watch
+
+
 # top-k
 
 

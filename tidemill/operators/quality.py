@@ -81,6 +81,13 @@ def inferred_schema(df: DataFrame, payload: str, arrival: str, max_fields: int =
     return T.StructType([T.StructField(r["name"], T._parse_datatype_string(TYPE_NAMES[r["type"]])) for r in rows])
 
 
+def parse_inferred(df: DataFrame, payload: str, arrival: str) -> DataFrame:
+    """JSON objects as columns of the schema that they themselves give; values that don't fit it are null."""
+    schema = inferred_schema(df, payload, arrival)
+    fields = F.from_json(payload, "map<string,string>")
+    return df.select(arrival, *[F.try_element_at(fields, F.lit(f.name)).try_cast(f.dataType).alias(f.name) for f in schema])
+
+
 def error_table(table: str, given: str | None = None) -> str:
     """Where rejected rows of a table go."""
     return given or f"{table}_error_records"

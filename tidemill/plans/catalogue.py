@@ -13,6 +13,13 @@ from tidemill.operators import joins as J
 from tidemill.operators import quality as Q
 from tidemill.operators import shape as S
 from tidemill.operators import windows as W
+from tidemill.scratch import scratch
+from tidemill.session import SETTINGS
+from tidemill.sinks import files as K
+from tidemill.sinks import tables as TB
+from tidemill.sources import files as SRC
+from tidemill.streaming import run, state
+from tidemill.streaming import windows as SW
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -431,3 +438,119 @@ def schema_autodetect(spark, sf_dir):
 @query("SELECT event_type AS destination, count(*) AS n FROM events GROUP BY 1")
 def route_by_type(spark, sf_dir):
     return A.count_per_key(table(spark, sf_dir, "events").select(F.col("event_type").alias("destination")), "destination")
+
+
+# sources and sinks, there and back
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, round(s_acctbal, 2) AS s_acctbal FROM supplier")
+def csv_round_trip(spark, sf_dir):
+    path = scratch(spark, "csv")
+    K.write_csv(table(spark, sf_dir, "supplier").withColumn("s_acctbal", F.round("s_acctbal", 2)), path, shards=None)
+    return spark.read.option("header", True).schema("s_suppkey long, s_name string, s_nationkey int, s_acctbal double").csv(path)
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1")
+def files_by_key(spark, sf_dir):
+    path = scratch(spark, "by-key")
+    K.write_by_key(table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey"), path, "o_orderstatus", F.col("o_orderkey").cast("string"), spread=4)
+    read = spark.read.text(path)
+    return read.groupBy(F.col("o_orderstatus").cast("string").alias("status")).agg(F.count("*").alias("n"), F.min(F.col("value").cast("long")).alias("first"))
+
+
+@query("SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1")
+def files_by_window(spark, sf_dir):
+    path = scratch(spark, "by-window")
+    K.write_by_window(W.windowed(table(spark, sf_dir, "events").select("ts", "event_id"), "ts", "1 day"), path, "window", F.col("event_id").cast("string"))
+    day = F.to_timestamp_ntz(F.substring_index(F.col("window_label"), "_", 1), F.lit("yyyy-MM-dd'T'HH-mm-ss"))
+    return spark.read.text(path).groupBy(day.alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type AS destination, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
+def routed_tables(spark, sf_dir):
+    root = scratch(spark, "routed")
+    TB.route(table(spark, sf_dir, "events").select("event_id", "event_type"), F.col("event_type"), root)
+    return spark.read.parquet(root).groupBy(F.col("destination").cast("string").alias("destination")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
+@query("SELECT event_id % 4 = 0 AS bad, count(*) AS n FROM events GROUP BY 1")
+def typed_table_errors(spark, sf_dir):
+    raw = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 4 == 0, "no number").otherwise(F.col("event_id").cast("string")).alias("event_id"), "event_type")
+    good, bad = TB.write_typed(raw, Q.schema_from_text("event_id:INTEGER,event_type:STRING"), scratch(spark, "typed"))
+    count = lambda path, is_bad: spark.read.parquet(path).agg(F.lit(is_bad).alias("bad"), F.count("*").alias("n"))
+    return S.flatten(count(good, False), count(bad, True))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer")
+def merged_table(spark, sf_dir):
+    path, c = scratch(spark, "merged"), table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    TB.merge_table(spark, path, c.filter("c_custkey % 3 <> 0"), ["c_custkey"])
+    changes = c.filter("c_custkey % 2 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    TB.merge_table(spark, path, changes.unionByName(c.filter("c_custkey % 2 = 1 AND c_custkey % 3 = 0")), ["c_custkey"])
+    return spark.read.parquet(path)
+
+
+@query("SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_name) AS names FROM nation GROUP BY 1")
+def whole_file_per_key(spark, sf_dir):
+    path = scratch(spark, "whole")
+    K.write_by_key(table(spark, sf_dir, "nation"), path, "n_regionkey", F.col("n_name"))
+    read = SRC.whole_files(spark, f"{path}/*/part-*")
+    key = F.regexp_extract("path", "n_regionkey=(\\d+)/", 1).cast("int")
+    return read.select(key.alias("n_regionkey"), F.array_join(F.array_sort(X.split_words("value", "\n")), ";").alias("names"))
+
+
+# streams, run over what there is
+
+
+def _event_stream(spark, sf_dir):
+    """The events as a folder of files that appear to a stream."""
+    events, path = table(spark, sf_dir, "events"), scratch(spark, "appearing")
+    events.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
+def _streamed(spark, stream, name, mode="complete"):
+    """What a stream gives: its last complete result, or all appended rows."""
+    for k, v in SETTINGS.items():
+        if k.startswith("spark.sql.streaming."):
+            spark.conf.set(k, v)
+    path = scratch(spark, name)
+    write = (lambda df: df.write.mode("overwrite").parquet(path)) if mode == "complete" else run.appended(path)
+    run.available(stream, write, scratch(spark, f"{name}-checkpoint"), mode)
+    return spark.read.parquet(path)
+
+
+@query("SELECT event_type, date_trunc('day', ts) AS window_start, count(*) AS n FROM events GROUP BY ALL")
+def stream_day_counts(spark, sf_dir):
+    out = _streamed(spark, SW.counted(_event_stream(spark, sf_dir), "ts", "1 day", "1 hour", keys=["event_type"]), "day-counts")
+    return out.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+@query(_islands("INTERVAL 6 HOUR"))
+def stream_sessions(spark, sf_dir):
+    out = _streamed(spark, SW.sessions(_event_stream(spark, sf_dir), ["user_id"], "ts", 6 * 3600, "1 hour", F.round(F.sum("value"), 4).alias("total")), "sessions")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
+@query(ORACLES["lag_window_diff"])
+def stream_lag_diff(spark, sf_dir):
+    out = _streamed(spark, SW.lag_differences(_event_stream(spark, sf_dir), ["user_id"], "ts", "value", "1 day", "1 hour"), "lag")
+    return rounded(out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), "new", "old", "diff")
+
+
+@query("SELECT user_id::VARCHAR AS key, max(event_id) FILTER (r % 2 = 1) AS first, max(event_id) FILTER (r % 2 = 0) AS second FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) GROUP BY user_id, (r - 1) // 2 HAVING count(*) = 2")
+def stream_pairs(spark, sf_dir):
+    keyed = _event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("ord"), F.col("event_id").alias("value"))
+    return _streamed(spark, state.pairs(keyed), "pairs", "append")
+
+
+@query("SELECT user_id::VARCHAR AS key, '[' || string_agg(event_id::VARCHAR, ', ' ORDER BY event_id) FILTER (event_type <> 'error') || ']' AS items FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r <= 20 GROUP BY user_id HAVING count(*) = 20")
+def stream_flush_after(spark, sf_dir):
+    keyed = _event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("ord"), F.col("event_id").alias("value"), (F.col("event_type") == "error").alias("is_error"))
+    return _streamed(spark, state.flush_after(keyed, 20), "flushed", "append")
+
+
+@query("SELECT event_type AS key, pane_index, 'EARLY' AS timing, pane_index = 0 AS is_first, accumulated, discarded FROM (" + ORACLES["aftercount_panes"] + ")")
+def stream_count_panes(spark, sf_dir):
+    keyed = _event_stream(spark, sf_dir).select(F.col("event_type").alias("key"), F.col("event_id").alias("ord"), "value")
+    return rounded(_streamed(spark, state.panes(keyed, every=50), "panes", "append"), "accumulated", "discarded")

@@ -42,6 +42,11 @@ def appended(path: str) -> Writer:
     return lambda df: df.write.mode("append").parquet(path)
 
 
+def sent(folder: str, payload: str) -> Writer:
+    """Messages to a topic's folder."""
+    return lambda df: df.select(F.col(payload).cast("string").alias("payload"), F.current_timestamp().alias("publish_time")).write.mode("append").json(folder)
+
+
 def logged(report: Callable[[str], None], rows: int = 20) -> Writer:
     """Report a batch's first rows."""
     return lambda df: [report(str(r)) for r in df.limit(rows).collect()] and None

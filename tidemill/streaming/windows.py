@@ -42,3 +42,9 @@ def rewindowed(counts: DataFrame, first_size: str, size: str, ts: str, delay: st
     w = F.window(ts, first_size, every) if every else F.window(ts, first_size)
     fine = counts.withWatermark(ts, delay).groupBy(w.alias("w")).agg(F.count("*").alias("n"))
     return fine.groupBy(F.window(F.window_time("w"), size).alias("w")).agg(F.sum("n").alias("n")).select(F.col("w.start").alias("window_start"), "n")
+
+
+def counted_with_beats(stream: DataFrame, beats: DataFrame, ts: str, size: str, delay: str) -> DataFrame:
+    """window_start, n, also of windows that only a heartbeat (a stream with a column ts) fell into: n is 0 there."""
+    both = stream.select(F.col(ts).alias("ts"), F.lit(1).alias("one")).unionByName(beats.select("ts", F.lit(0).alias("one")))
+    return both.withWatermark("ts", delay).groupBy(F.window("ts", size).alias("w")).agg(F.sum("one").alias("n")).select(F.col("w.start").alias("window_start"), "n")
