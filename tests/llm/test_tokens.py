@@ -67,3 +67,24 @@ def test_files_read_back_as_the_tokenizer_encodes(spark, tmp_path, name):
 def test_files_of_nothing(spark, tmp_path):
     path = tokens.write_token_files(cases.empty(spark), tokenizer_path(), str(tmp_path / "out"))
     assert tokens.read_token_files(spark, path).count() == 0
+
+
+def test_words_and_their_cuts_give_the_whole_texts_ids():
+    import random
+
+    import pyarrow as pa
+
+    from tidemill.llm import bytewise as bw
+
+    r = random.Random(12)
+    parts = ["a", "B", "the", "Q", "it's", "'S", "'", "''t", "1", "23", ".", ",", "!!", "--", "<", ">", "=", "̸", "̱", "́", "é", "Ü", "ß", "İ", "K", "—", "…", "日本", "ж", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "\x00", "\x1c", "\x85", " ", " ", " ", "  ", "\n", "\t", "😀", "ǆ", "ﬁ", "H", "h", "$"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(20_000)]
+    path = tokenizer_path()
+    whole = tokens.load_tokenizer(path)
+    for by_sign in (False, True):
+        own, at = tokens.WordTokenizer(path, 1, True, by_sign), 0
+        for s in bw.slices(pa.array(texts)):
+            ids, counts = own.encode(s)
+            for t, got in zip(texts[at : at + s.rows], np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+                assert got.tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1], repr(t)
+            at += s.rows

@@ -12,6 +12,8 @@ Decoding reads a code's symbol and length from a table by the next MAX_BITS bits
 
 Words between ASCII white space are tokenised once and remembered by a 64-bit hash, in a table of bounded size; this
 equals tokenising whole texts for a tokenizer whose tokens never hold white space, which white_space_splits() checks.
+Where signs_split() finds that tokens don't cross from letters to signs either, and that case counts for nothing, words
+are cut there and lower-cased, so that there are fewer different ones.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from tidemill.llm import bytewise as bw
 from tidemill.llm.store import bounded_batches, cut, new_path, width
 
 MAX_BITS, CHECKPOINT = 16, 256
+#: Bytes of text of a block, so that decoding has many checkpoints to go along; a longer text is a block of its own.
+BLOCK_BYTES = 1 << 20
 #: Remembered words (a power of two), and ids that they may have in all before all are forgotten.
 CACHE_BITS, CACHE_IDS = 22, 1 << 24
 
@@ -49,11 +53,64 @@ def white_space_splits(tokenizer) -> bool:
     return all(ids(f"{a}{gap}{b}") == ids(a) + ids(b) for a in probe for b in probe for gap in (" ", "\n", " \t ", "\r\x0b\x0c"))
 
 
+#: Kinds of bytes within words: letters, digits, signs that tokens never share with them, and all others.
+_LETTER, _DIGIT, _SIGN, _OTHER = 1, 2, 3, 0
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _LETTER
+_KIND[[0x27, 0x3C]] = _OTHER  # contractions; special tokens
+
+
+def signs_split(tokenizer) -> bool:
+    """Whether letters, digits and signs of ASCII, but for ' and words with <, never share a token, and case counts for nothing."""
+    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    signs = [chr(c) for c in range(0x21, 0x7F) if _KIND[c] == _SIGN]
+    probe = ["word", "wordé", "12", "x"]
+    if any(not t.content.startswith("<") for t in tokenizer.get_added_tokens_decoder().values()):
+        return False
+    cuts = [(a, b) for x in signs for y in (x, x + "-", x * 3) for w in probe for a, b in ((w if w[-1] < "\x7f" else w[0], y), (y, w))] + [("ab", "12"), ("1", "ab"), ("1", "a")]
+    return all(ids(a + b) == ids(a) + ids(b) for a, b in cuts) and all(ids(w.upper()) == ids(w) for w in ("word", "aqz", "t'sre"))
+
+
+def units(s: bw.Slice, by_sign: bool) -> tuple[bw.Words, np.ndarray]:
+    """Words between white space, with by_sign also cut where kinds of bytes change, and the bytes that they stand for:
+    with by_sign those of lower case, but of letters before a byte beyond ASCII, which may be a mark on them."""
+    if not by_sign:
+        return bw.words(s, bw.NOT_SPACE, lower=False), s.data
+    data = s.data
+    low = bw.LOWER[data]
+    if len(data):
+        marked = np.append(data[1:] >= 0x80, False)
+        low[marked] = data[marked]
+    w = bw.words(bw.Slice(s.first, low, s.offsets), bw.NOT_SPACE, lower=False, hashes=False)
+    tags = np.flatnonzero(data == 0x3C)
+    whole = np.zeros(len(w.start) + 1, bool)  # words with < stay as they are
+    whole[np.searchsorted(w.start, tags, "right") - 1] = True
+    whole = whole[: len(w.start)]
+    raw = bw.ranges(w.start[whole], (w.end - w.start)[whole])
+    low[raw] = data[raw]
+    kind = _KIND[data]
+    cut = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+    if len(cut):
+        word = np.searchsorted(w.start, cut, "right") - 1
+        inside = (word >= 0) & (cut > w.start[word]) & (cut < w.end[word]) & ~whole[word]
+        cut, word = cut[inside], word[inside]
+        start, end = np.concatenate([w.start, cut]), np.concatenate([w.end, cut])
+        start.sort()
+        end.sort()
+        first = np.searchsorted(start, s.offsets)
+        first[-1] = len(start)
+        w = bw.Words(start, end, np.repeat(np.arange(s.rows), np.diff(first)), first)
+    w.hash = bw.span_hashes(bw.prefix_hashes(low), w.start, w.end)
+    return w, low
+
+
 class WordTokenizer:
-    """Tokenises slices of texts, word by word where by_word."""
+    """Tokenises slices of texts, word by word where by_word, and those cut by_sign."""
 
-    def __init__(self, path: str, end_id: int, by_word: bool):
-        self.tokenizer, self.by_word, self.end_id = load_tokenizer(path), by_word, end_id
+    def __init__(self, path: str, end_id: int, by_word: bool, by_sign: bool):
+        self.tokenizer, self.by_word, self.by_sign, self.end_id = load_tokenizer(path), by_word, by_sign, end_id
         self.key = np.zeros(1 << CACHE_BITS, np.uint64)
         self.at = np.zeros(1 << CACHE_BITS, np.int32)
         self.size = np.full(1 << CACHE_BITS, -1, np.int32)
@@ -80,31 +137,31 @@ class WordTokenizer:
 
     def encode(self, s: bw.Slice) -> tuple[np.ndarray, np.ndarray]:
         """(ids, each row's count), the end id after each row's."""
-        raw = s.data.tobytes()
         if not self.by_word:
+            raw = s.data.tobytes()
             ids, size = self._encode([raw[a:b].decode() for a, b in zip(s.offsets[:-1], s.offsets[1:], strict=True)])
             return np.insert(ids, np.cumsum(size), self.end_id), size + 1
         if self.used > CACHE_IDS:
             self.forget()
-        w = bw.words(s, bw.NOT_SPACE, lower=False)
+        w, data = units(s, self.by_sign)
         slot = (w.hash >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
         hit = (self.key[slot] == w.hash) & (self.size[slot] >= 0)
         at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
         miss = np.flatnonzero(~hit)
         if len(miss):
             new, first, back = np.unique(w.hash[miss], return_index=True, return_inverse=True)
-            where = miss[first]
+            where, raw = miss[first], data.tobytes()
             ids, n = self._encode([raw[a:b].decode() for a, b in zip(w.start[where].tolist(), w.end[where].tolist(), strict=True)])
             begin = self._keep(ids) + np.cumsum(n) - n
             at[miss], size[miss] = begin[back], n[back]
             self.key[slot[where]], self.at[slot[where]], self.size[slot[where]] = new, begin, n
         # a unit for each word, and one of the end id for each row
-        units = np.zeros(len(at) + s.rows, np.int64)
-        sizes = np.ones(len(units), np.int64)
+        begins = np.zeros(len(at) + s.rows, np.int64)
+        sizes = np.ones(len(begins), np.int64)
         place = np.arange(len(at)) + w.row
-        units[place], sizes[place] = at, size
+        begins[place], sizes[place] = at, size
         counts = np.add.reduceat(sizes, w.first[:-1] + np.arange(s.rows)) if s.rows else sizes[:0]
-        return self.pool[bw.ranges(units, sizes)], counts
+        return self.pool[bw.ranges(begins, sizes)], counts
 
 
 #: Of this process, so that what a worker remembers lasts from task to task.
@@ -223,11 +280,11 @@ def decode_block(data: bytes, symbol: np.ndarray, table_bits: np.ndarray, limit:
 _BLOCKS = "pid int, before long, n_ids long, doc_ids array<long>, sizes array<int>, ids binary"
 
 
-def _tokenise(path: str, end_id: int, by_word: bool, kind: str):
+def _tokenise(path: str, end_id: int, by_word: bool, by_sign: bool, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, before, tokenizer = TaskContext.get().partitionId(), 0, _tokenizer(path, end_id, by_word)
+        pid, before, tokenizer = TaskContext.get().partitionId(), 0, _tokenizer(path, end_id, by_word, by_sign)
         for b in batches:
-            for s in bw.slices(b.column(1)):
+            for s in bw.slices(b.column(1), BLOCK_BYTES):
                 ids, sizes = tokenizer.encode(s)
                 one = lambda x, t: pa.array([x], t)
                 yield pa.RecordBatch.from_arrays(
@@ -249,7 +306,7 @@ def token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
     # a repeated doc_id is split by its texts
     dealt = rows.repartitionByRange(width(spark), "doc_id", F.crc32(F.coalesce("text", F.lit("")))).sortWithinPartitions("doc_id", F.crc32(F.coalesce("text", F.lit(""))), "text")
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    return cut(dealt.mapInArrow(_tokenise(tokenizer_path, end_id, white_space_splits(tokenizer), kind), _BLOCKS), "tokens"), vocabulary
+    return cut(dealt.mapInArrow(_tokenise(tokenizer_path, end_id, white_space_splits(tokenizer), signs_split(tokenizer), kind), _BLOCKS), "tokens"), vocabulary
 
 
 def _count(kind: str, vocabulary: int):
