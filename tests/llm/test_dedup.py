@@ -133,3 +133,25 @@ def test_suffix_array_orders_suffixes():
     assert sa.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
     hit = substrings.repeated_in_shard(data, np.arange(len(data) - 39), 40)
     assert hit.tolist() == [raw.count(raw[i : i + 40]) > 1 or raw.find(raw[i : i + 40], i + 1) >= 0 or raw.find(raw[i : i + 40]) < i for i in range(len(data) - 39)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_large_keys_connect_what_is_near(spark, monkeypatch, seed):
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 7)
+    r = np.random.default_rng(seed)
+    sigs = r.integers(0, 2**16, (3, near_dedup.SLOTS), dtype=np.uint16)[r.integers(0, 3, 60)]
+    for row in sigs:
+        at = r.choice(near_dedup.SLOTS, r.integers(0, 34), replace=False)
+        row[at] = r.integers(0, 2**16, len(at))
+    rows = [(k, i, min(range(k, 60, 2)), s) for k in (0, 1) for i, s in enumerate(sigs.view(np.int64).reshape(60, -1).tolist()) if i % 2 == k]
+    up = list(range(60))
+    for i in range(60):
+        for j in range(i % 2, i, 2):
+            if (sigs[i] != sigs[j]).sum() <= near_dedup.MAX_DISTANCE:
+                p, q = find(up, i), find(up, j)
+                up[max(p, q)] = min(p, q)
+    members = spark.createDataFrame(rows, "key long, doc_id long, hub long, sig array<long>")
+    edges = near_dedup._large_keys(members, spark.createDataFrame([], "a long, b long"))
+    got = {x.node: x.component for x in connected_components(edges).collect()}
+    assert [got.get(i, i) for i in range(60)] == [find(up, i) for i in range(60)]
+    assert len({find(up, i) for i in range(60)}) > 4

@@ -6,9 +6,10 @@ probability of about 5e-6. By pigeonhole two signatures at most 31 apart have a
 slot; a key for each chunk and each slot left out therefore meets every such pair, whatever the data.
 
 Keys that hold the same documents are processed once. Inside a key, signatures are compared in numpy with all others
-of the key, and only edges that join what is not joined yet leave it. Connected documents form a cluster, whose
-shingle sets are compared exactly, again with only joining links kept. Keys and clusters beyond a size are cut into
-blocks, and each pair of blocks is a task of its own: no group meets in one task, no pair is dropped.
+of the key, and only edges that join what is not joined yet leave it; in a key beyond a size, only what is not
+connected with the key's hub, by this key or any other, is compared with all. Connected documents form a cluster, whose
+shingle sets are compared exactly, again with only joining links kept. Large keys and clusters are cut into blocks, and
+each pair of blocks is a task of its own: no group meets in one task, no pair is dropped.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ from pyspark.sql import functions as F
 from tidemill.llm import bytewise as bw
 from tidemill.llm.components import connected_components
 from tidemill.llm.shards import block_pairs, runs
-from tidemill.llm.store import bounded_batches, cut
+from tidemill.llm.store import bounded_batches, cut, width
 
 SLOTS, PER_CHUNK, BITS = 64, 4, 16
 CHUNKS = SLOTS // PER_CHUNK
 MAX_DISTANCE = 2 * CHUNKS - 1
 SHINGLE = 5
-#: Documents of one key, and shingles of one cluster, that a block holds on average.
+#: Documents of one key that are compared at once, and shingles of one cluster that a block holds on average.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 17
 
 _rng = np.random.default_rng(7)
@@ -147,9 +148,8 @@ class _Joined:
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each run of a key's rows, edges that span the graph of signatures at most MAX_DISTANCE apart."""
-    for t, starts in runs(batches, 3):
-        doc, sig, block = _column(t, "doc_id"), _sigs(t), _column(t, "block")
-        two_blocks = _column(t, "i") != _column(t, "j")
+    for t, starts in runs(batches, 1):
+        doc, sig = _column(t, "doc_id"), _sigs(t)
         run = np.zeros(t.num_rows, np.int64)
         run[starts] = 1
         run = np.cumsum(run)
@@ -157,7 +157,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined, a, b = _Joined(t.num_rows), [], []
         for shift in range(1, longest):
             top = joined.flatten()
-            i = np.flatnonzero((run[shift:] == run[:-shift]) & (top[shift:] != top[:-shift]) & ~(two_blocks[shift:] & (block[shift:] == block[:-shift])))
+            i = np.flatnonzero((run[shift:] == run[:-shift]) & (top[shift:] != top[:-shift]))
             for part in np.array_split(i, len(i) // 65536 + 1):
                 part = part[_distance(sig[part], sig[part + shift]) <= MAX_DISTANCE]
                 for x in part[doc[part] != doc[part + shift]].tolist():
@@ -168,6 +168,65 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _to_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of rows (doc_id, hub, sig, hub_sig) whose signatures are at most MAX_DISTANCE apart."""
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        hub = np.ascontiguousarray(b.column("hub_sig").flatten().to_numpy()).reshape(b.num_rows, CHUNKS)
+        near = pa.array((_distance(_sigs(t), hub) <= MAX_DISTANCE) & (_column(t, "doc_id") != _column(t, "hub")))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(near), b.column("hub").filter(near)], ["a", "b"])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each run, edges from its strays to any of its rows, between what has different labels and isn't joined yet."""
+    for t, starts in runs(batches, 3):
+        doc, label, stray, sig = _column(t, "doc_id"), _column(t, "label"), _column(t, "stray"), _sigs(t)
+        a, b = [], []
+        for lo, hi in zip(starts, [*starts[1:], t.num_rows], strict=True):
+            _, group = np.unique(label[lo:hi], return_inverse=True)
+            first = np.zeros(int(group.max()) + 1, np.int64)
+            first[group[::-1]] = np.arange(hi - lo)[::-1]
+            joined = _Joined(hi - lo)
+            joined.up = first[group]  # those of a label are joined
+            others = np.flatnonzero(~stray[lo:hi])
+            for x in np.flatnonzero(stray[lo:hi]).tolist():
+                top = joined.flatten()
+                y = others[top[others] != top[x]]
+                for z in y[_distance(sig[lo + y], np.broadcast_to(sig[lo + x], (len(y), CHUNKS))) <= MAX_DISTANCE].tolist():
+                    if joined.join(x, z):
+                        a.append(doc[lo + x])
+                        b.append(doc[lo + z])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _large_keys(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges that join the members (key, doc_id, hub, sig) of large keys, beyond the edges of small ones.
+
+    Each member is first compared with its key's hub. Connected with all edges so far, most members of a group of near
+    copies are then in their hub's component, by this key or another; only the others, the strays, are compared with
+    all members of their key, block by block. A key without strays is done.
+    """
+    members = cut(members, "large-keys")
+    hubs = members.filter("doc_id = hub").select("key", F.col("sig").alias("hub_sig"))
+    star = members.join(hubs, "key").select("doc_id", "hub", "sig", "hub_sig").mapInArrow(_to_hub, "a long, b long")
+    edges = cut(edges.union(star), "star-edges")
+    labels = cut(connected_components(edges), "labels")
+    of = lambda c, name: labels.select(F.col("node").alias(c), F.col("component").alias(name))
+    labelled = members.join(of("doc_id", "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).join(of("hub", "hub_label"), "hub", "left").withColumn("is_stray", F.col("label") != F.coalesce("hub_label", "hub"))
+    labelled = cut(labelled.select("key", "doc_id", "sig", "label", "is_stray"), "labelled")
+    count = lambda c: F.ceil(F.sum(c) / BLOCK_DOCS)
+    open_ = labelled.groupBy("key").agg(count(F.lit(1)).alias("n_j"), count(F.col("is_stray").cast("int")).alias("n_i")).filter("n_i > 0")
+    rows = labelled.join(open_, "key")
+    deal = lambda own, other: (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col(own)), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+    (i, js), (j, is_) = deal("n_i", "n_j"), deal("n_j", "n_i")
+    keep = ["doc_id", "label", "sig"]
+    strays = rows.filter("is_stray").select("key", i.alias("i"), js.alias("j"), *keep, F.lit(True).alias("stray"))
+    dealt = strays.unionByName(rows.select("key", is_.alias("i"), j.alias("j"), *keep, F.lit(False).alias("stray")))
+    found = dealt.repartition(width(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across, "a long, b long")
+    return edges.union(found)
+
+
 def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with their text's shingles in place of the text; texts other than the digested one, of a repeated doc_id, go."""
     for b in batches:
@@ -240,13 +299,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = nodes.select(F.col("lo").alias("doc_id"), F.explode(_masked_keys(F.col("sig"))).alias("key"))
     held = (
         keys.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.bit_xor(F.xxhash64("doc_id")).alias("x1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x2"))
-        .filter("n > 1").groupBy("n", "lo", "x1", "x2").agg(F.min("key").alias("key"))
-        .select("key", F.ceil(F.col("n") / BLOCK_DOCS).alias("blocks"))
+        .agg(F.count("*").alias("n"), F.min("doc_id").alias("hub"), F.bit_xor(F.xxhash64("doc_id")).alias("x1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x2"))
+        .filter("n > 1").groupBy("n", "hub", "x1", "x2").agg(F.min("key").alias("key"))
     )
-    members = keys.join(held, "key").join(nodes.select(F.col("lo").alias("doc_id"), "sig"), "doc_id").select("key", "doc_id", "sig", "blocks")
-    dealt = block_pairs(members, "blocks", ["key"], "doc_id").select("key", "i", "j", "doc_id", "block", "sig")
-    clusters = cut(connected_components(dealt.mapInArrow(_near, "a long, b long")), "clusters")
+    held = cut(held.select("key", "hub", "n"), "keys")
+    members = lambda which: keys.join(held.filter(which), "key").join(nodes.select(F.col("lo").alias("doc_id"), "sig"), "doc_id").select("key", "doc_id", "hub", "sig")
+    small, large = f"n <= {BLOCK_DOCS}", f"n > {BLOCK_DOCS}"
+    edges = members(small).repartition(width(spark), "key").sortWithinPartitions("key").mapInArrow(_near, "a long, b long")
+    if not held.filter(large).isEmpty():
+        edges = _large_keys(members(large), edges)
+    clusters = cut(connected_components(edges), "clusters")
     # the sets of clustered documents, once more from their texts
     inside = clusters.join(nodes.select(F.col("lo").alias("node"), "sig", "d1", "d2", "n_shingles"), "node")
     sized = clusters.join(nodes.select(F.col("lo").alias("node"), "n_shingles"), "node").groupBy("component").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("blocks"))
