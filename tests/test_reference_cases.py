@@ -127,10 +127,10 @@ def test_patterns_in_blocks(spark, monkeypatch):
 
 
 def test_path_times_and_names(spark):
-    df = spark.createDataFrame([("gs://b/2019/03/17/00/file1",), ("gs://b/2019/03/18/22/file2.csv",), ("x",)], "p string")
+    df = spark.createDataFrame([("store://b/2019/03/17/00/file1",), ("store://b/2019/03/18/22/file2.csv",), ("x",)], "p string")
     got = df.select(X.timestamp_from_path("p"), X.basename("p"), X.dirname("p"), X.extension("p")).collect()
     assert [r[0] for r in got] == [dt.datetime(2019, 3, 17), dt.datetime(2019, 3, 18, 22), None]
-    assert got[1][1:] == ("file2.csv", "gs://b/2019/03/18/22", "csv")
+    assert got[1][1:] == ("file2.csv", "store://b/2019/03/18/22", "csv")
 
 
 def test_lookups(spark):

@@ -34,7 +34,7 @@ def test_sources(spark, lines):
     listed = spark.createDataFrame([(f"{lines}/file1.txt",), (f"{lines}/file1.txt",)], "p string")
     assert SRC.lines_of(listed, "p").count() == 3 and SRC.lines_of(listed.limit(0), "p").count() == 0
     notes = spark.createDataFrame([('{"id": "bucket/dir/file/123"}',), ("x",)], "m string")
-    assert [r.path for r in SRC.notified_paths(notes, "m", "gs://").collect()] == ["gs://bucket/dir/file"]
+    assert [r.path for r in SRC.notified_paths(notes, "m", "store://").collect()] == ["store://bucket/dir/file"]
     assert SRC.starter(spark, bucket="b").first().bucket == "b"
     assert SRC.literal(spark, [(1,)], "a int").count() == 1 and SRC.generated(spark, 50).count() == 50
     assert SRC.query(spark, "SELECT count(*) AS n FROM numbers", numbers=spark.range(7)).first().n == 7

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import glob_to_regex
+from tidemill.scratch import scratch
 from tidemill.sizes import MAX_BROADCAST_ROWS, is_small, small_side
 
 #: Patterns that are matched against all rows in one pass.
@@ -69,10 +70,13 @@ def numbered(df: DataFrame, *order: Column, keys: Sequence[str] = (), name: str
     """df with 0, 1, 2... in an order, by key or over all.
 
     Over all rows the order is a range partitioning: each partition numbers its own, from the count of those before.
+    The partitioned rows are written once, as another run could be partitioned otherwise.
     """
     if keys:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
-    ranged = df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
+    path = scratch(df.sparkSession, "numbered")
+    df.orderBy(*order).withColumns({"__part": F.spark_partition_id(), "__id": F.monotonically_increasing_id()}).write.parquet(path)
+    ranged = df.sparkSession.read.parquet(path)
     # ids ascend in order within a partition, from partition << 33
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))  # a row for each partition
     before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
