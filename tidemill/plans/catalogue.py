@@ -271,16 +271,35 @@ def sql_order_limit(spark, sf_dir):
 # joins
 
 
-@query("""WITH s(id, ord, start, stop) AS (SELECT 's' || i, i, TIMESTAMP '2024-01-01' + i * INTERVAL 1 DAY, TIMESTAMP '2024-01-02' + i * INTERVAL 1 DAY FROM range(0, 20) t(i))
-SELECT id, count(*) AS n, min(event_id) AS first_event FROM (SELECT e.event_id, s.id, row_number() OVER (PARTITION BY event_id ORDER BY ord) AS r FROM events e JOIN s ON e.ts BETWEEN start AND stop) WHERE r = 1 GROUP BY id""")
-def assign_sessions(spark, sf_dir):
+_RANGES = """WITH s(id, ord, start, stop) AS (SELECT 's' || i, i, TIMESTAMP '2024-01-01' + i * INTERVAL 1 DAY, TIMESTAMP '2024-01-02' + i * INTERVAL 1 DAY FROM range(0, 20) t(i))
+SELECT id, count(*) AS n, min(event_id) AS first_event FROM (SELECT e.event_id, s.id, row_number() OVER (PARTITION BY event_id ORDER BY ord) AS r FROM events e JOIN s ON e.ts BETWEEN start AND stop) WHERE r = 1 GROUP BY id"""
+
+
+def _assigned(spark, sf_dir):
     begin = F.lit("2024-01-01").cast("timestamp_ntz")
     shift = lambda k: begin + F.make_dt_interval((F.col("id") + k).cast("int"))
     ranges = spark.range(20).select(F.concat(F.lit("s"), F.col("id")).alias("session"), F.col("id").alias("ord"), shift(0).alias("start"), shift(1).alias("stop"))
-    found = J.assign_ranges(table(spark, sf_dir, "events").select("event_id", "ts"), ranges, "ts", "start", "stop", "ord", ["event_id"])
+    return ranges, table(spark, sf_dir, "events").select("event_id", "ts")
+
+
+def _per_range(found):
     return found.groupBy(F.col("session").alias("id")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
 
 
+@query(_RANGES)
+def assign_sessions(spark, sf_dir):
+    ranges, events = _assigned(spark, sf_dir)
+    return _per_range(J.assign_ranges(events, ranges, "ts", "start", "stop", "ord", ["event_id"]))
+
+
+@query(_RANGES)
+def assign_sessions_binned(spark, sf_dir):
+    """As assign_sessions, for more ranges than can be broadcast: both sides meet in bins of half a day."""
+    ranges, events = _assigned(spark, sf_dir)
+    seconds = lambda df, *names: df.withColumns({n: F.unix_micros(F.col(n).cast("timestamp")) / 1e6 for n in names})
+    return _per_range(J.assign_ranges(seconds(events, "ts"), seconds(ranges, "start", "stop"), "ts", "start", "stop", "ord", ["event_id"], bin_width=43_200, max_rows=0))
+
+
 _GLOBS = [("https://*", "secure"), ("*.example.org/*", "org"), ("*/en/*", "english"), ("http://?.*", "one letter host"), ("*#top", "top")]
 
 
@@ -370,6 +389,12 @@ def session_stats(spark, sf_dir):
     return W.sessions(table(spark, sf_dir, "events"), ["user_id"], "ts", 6 * 3600, F.round(F.sum("value"), 4).alias("total"))
 
 
+@query(_islands("INTERVAL 6 HOUR"))
+def session_stats_by_stretch(spark, sf_dir):
+    """As session_stats, for keys too large for one task."""
+    return W.sessions(table(spark, sf_dir, "events"), ["user_id"], "ts", 6 * 3600, F.round(F.sum("value"), 4).alias("total"), bucket="1 day")
+
+
 @query(_islands("to_seconds(CASE WHEN event_type = 'view' THEN 3600 ELSE ((props->>'k')::INTEGER + 1) * 360 END)"))
 def dynamic_sessions(spark, sf_dir):
     own = F.when(F.col("event_type") != "view", ((F.get_json_object("props", "$.k").cast("int") + 1) * 360).cast("string"))
