@@ -5,8 +5,8 @@ that any ten words that both hold give both the same fingerprint at the same pla
 one window and are looked up by the hash of all their words. A shared fingerprint aligns a document with an item; the
 alignment is extended to both sides over equal words, and counts where it covers a whole window.
 
-Benchmark fingerprints are looked up in each task while there are at most MAX_SHARED of them, a checked bound of a few
-MB; beyond it, documents' fingerprints are joined to them with a shuffle and the found pairs are extended after it.
+Benchmark fingerprints are looked up in each task while items have at most 2 * MAX_SHARED characters, a checked bound of
+some tens of MB; beyond it, documents' fingerprints are joined to them with a shuffle and the found pairs are extended after it.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from tidemill.llm.store import bounded_batches, cut, with_row
 
 WINDOW, GRAM = 10, 5
 NEIGHBOURS = WINDOW - GRAM + 1
-MAX_SHARED = 200_000
+MAX_SHARED = 2_000_000
 
 
 def winnow(w: bw.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +231,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.struct("*").alias("row")] * keep_row)
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
-    # an item gives at most its length in fingerprints
+    # an item gives at most half its length in fingerprints
     if (items.agg(F.sum(F.length("text"))).first()[0] or 0) <= 2 * max_shared:
         got = items.toArrow().combine_chunks()
         p = postings(got.column("item_id").to_pylist(), got.column("text").combine_chunks())

@@ -12,12 +12,18 @@ from pyspark.sql import types as T
 BATCH_BYTES = 4 << 20
 
 
+#: Of applications whose session names no folder, as in tests on one machine.
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one of this machine where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="tidemill-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = tempfile.mkdtemp(prefix="tidemill-")
+        found = _own_folders[app]
     return found.rstrip("/")
 
 
