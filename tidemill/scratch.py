@@ -8,10 +8,16 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+#: Of applications whose session names no folder.
+_own_folders: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path, not yet there, in the folder that spark.checkpoint.dir names; in one of this machine's where it is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="tidemill-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = tempfile.mkdtemp(prefix="tidemill-")
+        root = _own_folders[app]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
