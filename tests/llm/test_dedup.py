@@ -30,8 +30,9 @@ def expected_components(rows):
     return sorted((i, len(s), None if i is None else find(up, i)) for i, s in sets if i is not None), [len(s) for i, s in sets if i is None]
 
 
-@pytest.mark.parametrize("block", [None, 8])
-def test_near_duplicates_match_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "most"), [(None, 16), (8, 16), (8, 1)])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, block, most):
+    monkeypatch.setattr(near_dedup, "MOST_BLOCKS", most)
     if block:  # many blocks of few
         monkeypatch.setattr(near_dedup, "BLOCK_DOCS", block)
         monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 900)

@@ -30,8 +30,9 @@ SLOTS, PER_CHUNK, BITS = 64, 4, 16
 CHUNKS = SLOTS // PER_CHUNK
 MAX_DISTANCE = 2 * CHUNKS - 1
 SHINGLE = 5
-#: Documents of one key that are compared at once, and shingles of one cluster that a block holds on average.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 17
+#: Documents of one key, and shingles of one cluster, that a block holds on average; blocks of a key whose pairs are all
+#: compared. In a larger key, most of which its hub connects, only strays are.
+BLOCK_DOCS, BLOCK_SHINGLES, MOST_BLOCKS = 1024, 1 << 17, 16
 
 _rng = np.random.default_rng(7)
 _MUL = (_rng.integers(0, 2**32, (2, SLOTS), dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -148,8 +149,9 @@ class _Joined:
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each run of a key's rows, edges that span the graph of signatures at most MAX_DISTANCE apart."""
-    for t, starts in runs(batches, 1):
-        doc, sig = _column(t, "doc_id"), _sigs(t)
+    for t, starts in runs(batches, 3):
+        doc, sig, block = _column(t, "doc_id"), _sigs(t), _column(t, "block")
+        two_blocks = _column(t, "i") != _column(t, "j")
         run = np.zeros(t.num_rows, np.int64)
         run[starts] = 1
         run = np.cumsum(run)
@@ -157,7 +159,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined, a, b = _Joined(t.num_rows), [], []
         for shift in range(1, longest):
             top = joined.flatten()
-            i = np.flatnonzero((run[shift:] == run[:-shift]) & (top[shift:] != top[:-shift]))
+            i = np.flatnonzero((run[shift:] == run[:-shift]) & (top[shift:] != top[:-shift]) & ~(two_blocks[shift:] & (block[shift:] == block[:-shift])))
             for part in np.array_split(i, len(i) // 65536 + 1):
                 part = part[_distance(sig[part], sig[part + shift]) <= MAX_DISTANCE]
                 for x in part[doc[part] != doc[part + shift]].tolist():
@@ -303,9 +305,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .filter("n > 1").groupBy("n", "hub", "x1", "x2").agg(F.min("key").alias("key"))
     )
     held = cut(held.select("key", "hub", "n"), "keys")
-    members = lambda which: keys.join(held.filter(which), "key").join(nodes.select(F.col("lo").alias("doc_id"), "sig"), "doc_id").select("key", "doc_id", "hub", "sig")
-    small, large = f"n <= {BLOCK_DOCS}", f"n > {BLOCK_DOCS}"
-    edges = members(small).repartition(width(spark), "key").sortWithinPartitions("key").mapInArrow(_near, "a long, b long")
+    # what is held grows with the corpus: it is merged with, never broadcast
+    members = lambda which: keys.join(held.filter(which).hint("merge"), "key").join(nodes.select(F.col("lo").alias("doc_id"), "sig"), "doc_id").select("key", "doc_id", "hub", "sig", F.ceil(F.col("n") / BLOCK_DOCS).alias("blocks"))
+    small, large = f"n <= {MOST_BLOCKS * BLOCK_DOCS}", f"n > {MOST_BLOCKS * BLOCK_DOCS}"
+    dealt = block_pairs(members(small), "blocks", ["key"], "doc_id").select("key", "i", "j", "doc_id", "block", "sig")
+    edges = dealt.mapInArrow(_near, "a long, b long")
     if not held.filter(large).isEmpty():
         edges = _large_keys(members(large), edges)
     clusters = cut(connected_components(edges), "clusters")
