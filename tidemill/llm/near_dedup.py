@@ -2,7 +2,7 @@
 
 A signature is 64 minima of 16 bits each, packed into 16 chunks of four. Two documents of Jaccard similarity s agree in
 a slot with probability s, so at 0.75 the distance (slots that differ) is 16 on average, and over 31 with a
-probability of about 5e-6. By pigeonhole two signatures at most 31 apart have a chunk with at most one differing
+probability of about 1.5e-5. By pigeonhole two signatures at most 31 apart have a chunk with at most one differing
 slot; a key for each chunk and each slot left out therefore meets every such pair, whatever the data.
 
 Keys that hold the same documents are processed once. Inside a key, signatures are compared in numpy with all others
