@@ -3,14 +3,14 @@
 import importlib.util
 
 import duckdb
-import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from tidemill.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = sorted(n for n in entry.oracle_sql())
+NAMES = sorted(catalogue.ORACLES)
 
 
 @pytest.fixture(scope="module")
@@ -22,18 +22,16 @@ def duck():
     return c
 
 
-def plain(df):
-    def one(x):
-        return "NULL" if pd.isna(x) else repr(round(float(x), 6)) if isinstance(x, float) else str(x)
-
-    return sorted(tuple(one(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
+def plain(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(tuple(repr(round(r[i], 6)) if isinstance(r[i], float) else str(r[i]) for i in order) for r in rows)
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_rows_are_those_of_the_sql(spark, duck, name):
-    got, want = entry.queries()[name](spark, SF).toPandas(), duck.sql(entry.oracle_sql()[name]).df()
+    got, want = catalogue.QUERIES[name](spark, SF), duck.sql(catalogue.ORACLES[name])
     assert sorted(got.columns) == sorted(want.columns)
-    assert plain(got) == plain(want)
+    assert plain(got.columns, got.collect()) == plain(want.columns, want.fetchall())
 
 
 def test_entry_and_registration(spark):

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,8 +16,11 @@ FAR = "2031-01-01 00:00:00"
 
 
 def put(folder, name, rows):
+    """A file of a folder, each newer than the one before: streams take the oldest first."""
     folder.mkdir(exist_ok=True)
     (folder / name).write_text("".join(json.dumps(r) + "\n" for r in rows))
+    at = 1_700_000_000 + 10 * len(list(folder.iterdir()))
+    os.utime(folder / name, (at, at))
 
 
 def collected(spark, stream, tmp_path, mode="append", tag="q"):
