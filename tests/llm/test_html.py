@@ -88,3 +88,15 @@ def test_odd_rows(spark):
     assert sorted((str(r.page_id), r.text) for r in got if r.page_id != 5) == sorted([("1", text), ("1", text), ("None", text), ("2", ""), ("3", ""), ("4", "")])
     assert next(r.n_chars for r in got if r.page_id == 5) > 200_000
     assert html_extract.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_attributes_are_read_to_their_end():
+    article = "<article><h1>Some title</h1>" + "<p>One sentence of the article, and then another one, of words.</p>" * 4 + "</article>"
+    prose = "<p>This is some other prose, that looks like it, but is not.</p>" * 3
+    far = "data-x='" + '{"a": 1, ' * 120 + "}'"
+    for mark in ('class="sidebar ad"', 'style="color: red; display: none"', "hidden"):
+        near_page, far_page = (f"<body>{article}<div {x}{mark}>{prose}</div></body>" for x in ("", far + " "))
+        near, away = (html_extract.features([parse(p)]) for p in (near_page, far_page))
+        assert (near == away).all()
+        got = html_extract.extract_texts([near_page, far_page], html_extract.default_model())
+        assert got[0] == got[1] and got[0].startswith("Some title One sentence")

@@ -44,7 +44,10 @@ _ALWAYS_OUT = RAW | {"noscript", "template", "svg", "head", "select", "button",
 ENTER, LEAVE = 1.0, 1.0
 
 
-@functools.lru_cache(65536)
+#: Attributes shorter than this are remembered, so that what is remembered stays small.
+SHORT = 400
+
+
 def _bits(tag: str, raw: str) -> int:
     out = _TAG_BIT.get(tag, 0)
     if raw:
@@ -59,6 +62,9 @@ def _bits(tag: str, raw: str) -> int:
     return out
 
 
+_short_bits = functools.lru_cache(65536)(_bits)
+
+
 def features(trees: list[Tree]) -> np.ndarray:
     """A row for each element of each tree, in order."""
     own, above, parent, last, depth, base, sibling, siblings = [], [], [], [], [], [], [], []
@@ -66,7 +72,7 @@ def features(trees: list[Tree]) -> np.ndarray:
     at = 0
     for t in trees:
         n = len(t.tag)
-        bits = [_bits(tag, raw if len(raw) < 400 else raw[:400]) for tag, raw in zip(t.tag, t.attrs, strict=True)]
+        bits = [(_short_bits if len(raw) < SHORT else _bits)(tag, raw) for tag, raw in zip(t.tag, t.attrs, strict=True)]
         up = [0] * n
         children = [0] * n
         place = [0] * n
