@@ -85,6 +85,37 @@ def test_language_of_held_out_and_mixed_texts(spark):
     assert langid.identify(cases.empty(spark), model).count() == 0
 
 
+def test_every_labelled_language_is_learned(spark):
+    import random
+    import zlib
+
+    r = random.Random(6)
+    vocabulary = {f"l{i:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for i in range(230)}
+    text = lambda lang, n: " ".join(r.choice(vocabulary[lang]) for _ in range(n))
+    rows = [(i, text(lang, 40), lang) for i, lang in enumerate(lang for lang in vocabulary for _ in range(6))]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(vocabulary)
+    learned = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    own = langid.learn([t for _, t, _ in learned], [lang for _, _, lang in learned])
+    assert (model.table == own.table).all() and (model.scripts == own.scripts).all()
+    held = [(i, text(lang, 30), lang) for i, lang in enumerate(vocabulary)]
+    got = {x.doc_id: x for x in langid.identify(spark.createDataFrame(held, "doc_id long, text string, lang string"), model, spans=False).collect()}
+    assert all(got[i].lang_pred == lang and got[i].score > 0.9 for i, _, lang in held)
+
+
+def test_scores_worked_out_in_parts_are_the_same(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["the dog and the fox " * 30, "der hund und der fuchs " * 20, "", "x" * 3000 + " the hund", "собака и лиса"]
+    model = langid.learn(texts[:2] + texts[4:], ["en", "de", "ru"])
+    scores, _, _, counts = langid.word_scores(pa.array(texts), model)
+    every, whole = scores[np.arange(len(scores))], langid.viterbi(scores, counts)
+    assert (langid.viterbi(every, counts) == whole).all()
+    monkeypatch.setattr(langid, "CELLS", 50)
+    assert np.allclose(scores[np.arange(len(scores))], every, rtol=1e-4) and (langid.viterbi(scores, counts) == whole).all()
+
+
 def test_viterbi_matches_all_paths():
     import itertools
 

@@ -19,8 +19,10 @@ from tidemill.llm import bytewise as bw
 from tidemill.llm.store import bounded_batches, with_row
 
 TABLE_BITS = 16
-#: Languages learned at most (the most frequent), and expected labelled documents of each that are learned from.
-MAX_LANGUAGES, SAMPLE_PER_LANGUAGE = 200, 600
+#: Expected labelled documents of each language that are learned from.
+SAMPLE_PER_LANGUAGE = 600
+#: Numbers of words' bytes times languages that are worked on at once.
+CELLS = 16 << 20
 #: What a change of language between two words costs, in nats, and the least share of a language's words in a script.
 SWITCH_PENALTY, SCRIPT_SHARE = 12.0, 0.01
 UNKNOWN = "und"
@@ -30,6 +32,8 @@ LETTER = np.zeros(256, bool)
 LETTER[0x61:0x7B] = LETTER[0x80:] = True
 
 SCRIPTS = ["common", "latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "indic", "thai", "kana_han", "hangul", "other"]
+#: What is counted of a language: trigrams by table index, words by script, and texts.
+WIDTH = (1 << TABLE_BITS) + len(SCRIPTS) + 1
 
 
 def _script_of_lead() -> np.ndarray:
@@ -79,78 +83,126 @@ def _trigrams(s: bw.Slice) -> tuple[bw.Words, np.ndarray, np.ndarray]:
     return w, index, script
 
 
+def _count(texts: pa.Array, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells and their counts: language * WIDTH + a trigram's table index, or after these a word's script, or a text."""
+    cells = [of.astype(np.int64) * WIDTH + WIDTH - 1]
+    for s in bw.slices(texts):
+        w, index, script = _trigrams(s)
+        base = of[s.first + w.row].astype(np.int64) * WIDTH
+        cells += np.unique(np.repeat(base, w.end - w.start) + index, return_counts=True), base + (1 << TABLE_BITS) + script
+    found = [x if isinstance(x, tuple) else np.unique(x, return_counts=True) for x in cells]
+    cell, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+    return cell, np.bincount(at, np.concatenate([n for _, n in found]), len(cell)).astype(np.int64)
+
+
+def _model(names: list[str], cell: np.ndarray, count: np.ndarray) -> Model:
+    """A model out of the counts of all cells, of those languages that have a text."""
+    lang, place = np.divmod(cell, WIDTH)
+    used, lang = np.unique(lang, return_inverse=True)
+    n, size = len(used), 1 << TABLE_BITS
+    gram, script = place < size, (place >= size) & (place < WIDTH - 1)
+    seen = max(1, len(np.unique(place[gram])))
+    total = np.log(np.bincount(lang[gram], count[gram], n) + seen)
+    table = np.empty((size, n), np.float32)
+    table[:] = -total
+    table[place[gram], lang[gram]] = np.log(count[gram] + 1) - total[lang[gram]]
+    scripts = np.zeros((len(SCRIPTS), n))
+    scripts[place[script] - size, lang[script]] = count[script]
+    return Model([names[i] for i in used], table, scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(axis=0)))
+
+
 def learn(texts: list[str], langs: list[str]) -> Model:
     """A model of the languages of labelled texts."""
     languages = sorted(set(langs))
-    counts = np.zeros((1 << TABLE_BITS, len(languages)))
-    scripts = np.zeros((len(SCRIPTS), len(languages)))
-    of = np.array([languages.index(x) for x in langs])
-    for s in bw.slices(pa.array(texts, pa.string())):
-        w, index, script = _trigrams(s)
-        lang = of[s.first + w.row]
-        np.add.at(scripts, (script, lang), 1)
-        key = index.astype(np.int64) * len(languages) + np.repeat(lang, w.end - w.start)
-        counts += np.bincount(key, minlength=counts.size).reshape(counts.shape)
-    seen = max(1, int((counts.sum(axis=1) > 0).sum()))
-    table = np.log(counts + 1) - np.log(counts.sum(axis=0) + seen)
-    return Model(languages, table.astype(np.float32), scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(axis=0)))
+    at = {x: i for i, x in enumerate(languages)}
+    return _model(languages, *_count(pa.array(texts, pa.string()), np.array([at[x] for x in langs], np.int64)))
+
+
+class Scores:
+    """Words' scores, worked out for those that are asked for: a row for each word, a column for each language."""
+
+    def __init__(self, model: Model, index: np.ndarray, size: np.ndarray, script: np.ndarray):
+        self.model, self.index, self.size, self.script = model, index, size, script
+        self.start = np.cumsum(size) - size
+        self.shape = (len(size), len(model.languages))
+
+    def __len__(self) -> int:
+        return len(self.size)
 
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        size, n = self.size[at], self.shape[1]
+        got = np.zeros((len(at), n), np.float32)
+        where = bw.ranges(self.start[at], size)
+        word = np.repeat(np.arange(len(at)), size)
+        step = max(1, CELLS // n)
+        for a in range(0, len(where), step):
+            part = word[a : a + step]
+            begin = np.flatnonzero(np.diff(part, prepend=-1))
+            got[part[begin]] += np.add.reduceat(self.model.table[self.index[where[a : a + step]]], begin, axis=0)
+        may = self.model.scripts[self.script[at]]
+        return np.where(may, got, np.where(may.any(axis=1), np.float32(-1e6), np.float32(0))[:, None])
 
-def word_scores(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+
+def word_scores(texts: pa.Array, model: Model) -> tuple[Scores, np.ndarray, np.ndarray, np.ndarray]:
     """(scores of all words, their bytes, whether a language is written in their script, words of each row)."""
-    scores, sizes, known, per_row = [], [], [], []
+    indices, sizes, scripts, per_row = [], [], [], []
     for s in bw.slices(texts):
         w, index, script = _trigrams(s)
+        indices.append(index)
+        sizes.append(w.end - w.start)
+        scripts.append(script)
         per_row.append(np.diff(w.first))
-        if len(w.start) == 0:
-            continue
-        size = w.end - w.start
-        got = np.add.reduceat(model.table[index], np.cumsum(size) - size, axis=0)
-        may = model.scripts[script]
-        scores.append(np.where(may, got, np.where(may.any(axis=1), -1e6, 0)[:, None]).astype(np.float32))
-        sizes.append(size)
-        known.append(may.any(axis=1))
-    n = len(model.languages)
-    cat = lambda x, empty: np.concatenate(x) if x else empty
-    return cat(scores, np.zeros((0, n), np.float32)), cat(sizes, np.zeros(0, np.int64)), cat(known, np.zeros(0, bool)), cat(per_row, np.zeros(0, np.int64))
-
-
-def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
+    cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+    size, script = cat(sizes, np.int64), cat(scripts, np.uint8)
+    return Scores(model, cat(indices, np.uint32), size, script), size, model.scripts.any(axis=1)[script], cat(per_row, np.int64)
+
+
+def viterbi(scores: np.ndarray | Scores, counts: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
     """The best labels of each row's words: highest sum of scores less penalty for each change. Rows go in lockstep.
 
-    Ties go to staying, then to the first language. Scores are read relative to each word's best.
+    Ties go to staying, then to the first language. Scores are read relative to each word's best, those of a run of
+    steps at a time.
     """
-    out = np.zeros(len(scores), np.int16)
+    out = np.zeros(len(scores), np.int32)
     if not len(scores):
         return out
-    scores = scores - scores.max(axis=1, keepdims=True)
+    n = scores.shape[1]
     order = np.argsort(-counts, kind="stable")
     size = counts[order]
     first = (np.cumsum(counts) - counts)[order]
     live = np.searchsorted(-size, -np.arange(int(size[0])), "left")  # rows with more than t words
-    best_before = np.zeros(len(scores), np.int16)
-    switched = np.zeros(scores.shape, bool)
-    v = np.zeros((len(order), scores.shape[1]), np.float32)
+    done = np.concatenate([[0], np.cumsum(live)])
+    best_before = np.zeros(len(scores), np.int32)
+    switched = np.zeros((len(scores), -(-n // 8)), np.uint8)  # a bit for each language
+    v = np.zeros((int(live[0]), n), np.float32)
+    begin = end = 0
     for t in range(int(size[0])):
+        if t == end:
+            begin, end = t, max(t + 1, int(np.searchsorted(done, done[t] + CELLS // (4 * n), "right")) - 1)
+            places = np.concatenate([first[: live[u]] + u for u in range(begin, end)])
+            part = scores[places]
+            part -= part.max(axis=1, keepdims=True)
         k = live[t]
-        at = first[:k] + t
+        own = slice(done[t] - done[begin], done[t + 1] - done[begin])
+        at = places[own]
         now = v[:k]
         if t:
             top = now.argmax(axis=1)
             change = now[np.arange(k), top] - np.float32(penalty)
             sw = change[:, None] > now
             best_before[at] = top
-            switched[at] = sw
+            switched[at] = np.packbits(sw, axis=1)
             now = np.where(sw, change[:, None], now)
-        now = now + scores[at]
+        now = now + part[own]
         v[:k] = now - now.max(axis=1, keepdims=True)
     state = v.argmax(axis=1)
     for t in range(int(size[0]) - 1, -1, -1):
         k = live[t]
         at = first[:k] + t
-        out[at] = state[:k]
+        now = state[:k]
+        out[at] = now
         if t:
-            state[:k] = np.where(switched[at, state[:k]], best_before[at], state[:k])
+            state[:k] = np.where((switched[at, now >> 3] >> (7 - (now & 7))) & 1, best_before[at], now)
     return out
 
 
@@ -159,7 +211,7 @@ def _label(model_of, spans: bool):
         model = model_of.value
         names = np.array([*model.languages, UNKNOWN])
         n = len(model.languages)
-        for whole, part in ((b, x) for b in batches for x in bw.slices(b.column(1), max(1 << 16, (16 << 20) // max(4, n)))):
+        for whole, part in ((b, x) for b in batches for x in bw.slices(b.column(1), max(1 << 14, CELLS // max(4, n)))):
             b = whole.slice(part.first, part.rows)
             texts = b.column(1)
             scores, size, known, counts = word_scores(texts, model)
@@ -197,18 +249,26 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id"):
     return F.col(id_col).isNotNull() & (F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) != 2)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _count(b.column(0), b.column(1).to_numpy())], ["cell", "n"])
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Learn from a sample of labelled training rows, about per_language of each of the MAX_LANGUAGES most frequent
-    languages, chosen by a hash of doc_id; no more rows than twice that come to the driver. Only text and lang are read."""
+    """Learn every language of the labelled training rows from a sample, about per_language rows of each, chosen by a
+    hash of doc_id. Rows are counted where they lie; a language's counts come to the driver. Only text and lang are read."""
+    spark = docs.sparkSession
     rows = docs.filter(training_rows(docs, id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())
     if not counts:
         return Model([], np.zeros((1 << TABLE_BITS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
+    bounded_batches(spark)
     scale = 1_000_000
-    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(scale, -(-per_language * scale // n)))])[F.col("lang")]
-    sample = rows.filter(F.col("lang").isin(list(counts)) & (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(scale)) < rate)).select("text", "lang")
-    got = sample.limit(2 * per_language * len(counts)).toArrow()
-    return learn(got.column("text").to_pylist(), got.column("lang").to_pylist())
+    rates = spark.createDataFrame([(lang, i, min(scale, -(-per_language * scale // n))) for i, (lang, n) in enumerate(counts)], "lang string, language int, rate int")
+    sample = rows.join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(scale)) < F.col("rate")).select("text", "language")
+    got = sample.mapInArrow(_counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    return _model([lang for lang, _ in counts], got.column("cell").to_numpy(), got.column("n").to_numpy())
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = True, keep_row: bool = False) -> DataFrame:
