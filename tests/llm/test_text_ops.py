@@ -116,6 +116,17 @@ def test_scores_worked_out_in_parts_are_the_same(monkeypatch):
     assert np.allclose(scores[np.arange(len(scores))], every, rtol=1e-4) and (langid.viterbi(scores, counts) == whole).all()
 
 
+def test_symbols_alone_are_of_no_language(spark):
+    prose = "“the dog” — ‘and’ … the fox — was there — … “again”"
+    model = langid.fit(spark.createDataFrame([(i, prose, "en") for i in range(20)], "doc_id long, text string, lang string"))
+    assert model.scripts[langid.SCRIPTS.index("common")].all()
+    texts = ["— … ”", "×", "😀 — 。", "— … the — … fox — собака", "… собака …", "𐌰𐌱"]
+    got = {x.doc_id: x for x in langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, spans=False).collect()}
+    assert [(got[i].lang_pred, got[i].score) for i in range(3)] == [("und", 0.0)] * 3
+    assert got[3].lang_pred == "en" and abs(got[3].score - 6 / 18) < 1e-9
+    assert got[4].score == 0 and got[5].lang_pred == "en"
+
+
 def test_viterbi_matches_all_paths():
     import itertools
 

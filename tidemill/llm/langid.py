@@ -7,6 +7,7 @@ labelling pays a penalty for each change of language between neighbouring words.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -143,18 +144,38 @@ class Scores:
         return np.where(may, got, np.where(may.any(axis=1), np.float32(-1e6), np.float32(0))[:, None])
 
 
+@functools.lru_cache(4096)
+def _has_letter(word: bytes) -> bool:
+    return any(c.isalpha() for c in word.decode("utf-8", "ignore"))
+
+
+def _lettered(s: bw.Slice, w: bw.Words, script: np.ndarray) -> np.ndarray:
+    """For each word whether it holds a letter; of words that don't begin with a symbol it is taken for granted."""
+    out = np.ones(len(script), bool)
+    led = np.flatnonzero(script == 0)
+    if len(led):
+        size = w.end[led] - w.start[led]
+        plain = np.add.reduceat((_SCRIPT[bw.LOWER[s.data[bw.ranges(w.start[led], size)]]] > 0).astype(np.int64), np.cumsum(size) - size) == 0
+        for i in led[plain].tolist():
+            word = s.data[w.start[i] : w.end[i]].tobytes()
+            out[i] = _has_letter(word) if len(word) < 64 else _has_letter.__wrapped__(word)
+    return out
+
+
 def word_scores(texts: pa.Array, model: Model) -> tuple[Scores, np.ndarray, np.ndarray, np.ndarray]:
-    """(scores of all words, their bytes, whether a language is written in their script, words of each row)."""
-    indices, sizes, scripts, per_row = [], [], [], []
+    """(scores of all words, their bytes or 0 for one without a letter, whether a language is written in their script,
+    words of each row)."""
+    indices, sizes, scripts, per_row, weights = [], [], [], [], []
     for s in bw.slices(texts):
         w, index, script = _trigrams(s)
         indices.append(index)
         sizes.append(w.end - w.start)
         scripts.append(script)
+        weights.append(sizes[-1] * _lettered(s, w, script))
         per_row.append(np.diff(w.first))
     cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
     size, script = cat(sizes, np.int64), cat(scripts, np.uint8)
-    return Scores(model, cat(indices, np.uint32), size, script), size, model.scripts.any(axis=1)[script], cat(per_row, np.int64)
+    return Scores(model, cat(indices, np.uint32), size, script), cat(weights, np.int64), model.scripts.any(axis=1)[script], cat(per_row, np.int64)
 
 
 def viterbi(scores: np.ndarray | Scores, counts: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
@@ -223,7 +244,8 @@ def _label(model_of, spans: bool):
             score = by[np.arange(b.num_rows), pred] / np.maximum(total, 1)
             for r in np.flatnonzero(counts == 0).tolist():
                 pred[r], score[r] = n, 0
-            for r in np.flatnonzero((by.sum(axis=1) == 0) & (counts > 0)).tolist():
+            latin = np.concatenate([[0], np.cumsum(LETTER[low := bw.LOWER[part.data]] & (low < 0x80))])[part.offsets]
+            for r in np.flatnonzero((latin[1:] == latin[:-1]) & (counts > 0)).tolist():
                 if not any(c.isalpha() for c in texts[r].as_py() or ""):
                     pred[r], score[r] = n, 0
             cols = [b.column(0), pa.array(names[pred].tolist(), pa.string()), pa.array(np.clip(score, 0.0, 1.0))]
@@ -275,7 +297,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """doc_id, lang_pred, score, spans (first_word, end_word, lang) and, if keep_row, row (docs' own columns): one row for each row of docs.
 
     Words are runs of a-z, A-Z and characters beyond ASCII. lang_pred is the language of most of a text's letters, as
-    bytes; score their share. A null text, or one without a letter, is "und" with score 0 and no spans or, of symbols,
+    bytes; score their share of the bytes of words with a letter. A null text, or one without a letter, is "und" with score 0 and no spans or, of symbols,
     spans of no weight; so are all texts where the model knows no language. Letters in a script of no learned language
     count for none. Repeated rows give equal rows, null doc_ids stay null, other columns aren't read.
     """
