@@ -13,14 +13,15 @@ from tidemill.llm.queries import tokenizer_path
 from tidemill.llm.store import cut
 from tidemill.llm.tokens import token_files_of
 
-#: Least share of a document's letters in one language.
+#: Least share of a document's letters in languages that are known.
 MIN_SHARE = 0.5
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, null and empty ones too, or with no language for MIN_SHARE of their letters, go."""
-    found = identify(docs, fit(docs), spans=False, keep_row=True)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SHARE)).select("row.*")
+    """Documents without a letter, null and empty ones too, or whose letters are to less than MIN_SHARE of
+    known languages, be it of several, go."""
+    found = identify(docs, fit(docs), spans=False, keep_row=True, explained=True)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("explained") >= MIN_SHARE)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,16 @@ def test_stages_match_brute_force(spark, tmp_path):
     assert {r.doc_id for r in P.run(spark, SF).collect()} == kept[4]
 
 
+def test_texts_of_several_known_languages_stay(spark):
+    english, german, russian = "the quick brown fox jumps over lazy dogs and then they were", "der schnelle braune fuchs springt nicht über die faulen hunde", "быстрая лиса прыгает через ленивую"
+    rows = [(i, " ".join([t] * 3), lang, "s", 1) for i, (t, lang) in enumerate([(english, "en"), (german, "de"), (russian, "ru")] * 20)]
+    three = " ".join([" ".join([english] * 4), " ".join([german] * 4), " ".join([russian] * 4)])
+    rows += [(100, three, None, "s", 1), (101, f"{english} 😀 😀 😀 😀 😀 😀 😀 😀 😀 😀 😀 😀 😀 😀 😀 😀 😀 😀", None, "s", 1), (102, "ભાષા અને લેખન " * 5 + "the fox", None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert max(x.score for x in P.identify(docs.filter("doc_id = 100"), P.fit(docs), spans=False).collect()) < P.MIN_SHARE
+    assert {x.doc_id for x in P.identify_languages(spark, docs, SF).collect()} == {*range(60), 100, 101}
+
+
 def test_stages_take_awkward_rows(spark):
     odd, none = cases.frame(spark), cases.empty(spark)
     for _, stage in P.STAGES[:-1]:

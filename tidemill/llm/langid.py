@@ -227,7 +227,7 @@ def viterbi(scores: np.ndarray | Scores, counts: np.ndarray, penalty: float = SW
     return out
 
 
-def _label(model_of, spans: bool):
+def _label(model_of, spans: bool, explained: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of.value
         names = np.array([*model.languages, UNKNOWN])
@@ -260,6 +260,9 @@ def _label(model_of, spans: bool):
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(row[begin], minlength=b.num_rows))]).astype(np.int32)
                 cols.append(pa.ListArray.from_arrays(pa.array(offsets), struct))
                 kept.append("spans")
+            if explained:
+                cols.append(pa.array(by.sum(axis=1) / np.maximum(total, 1)))
+                kept.append("explained")
             cols += b.columns[2:]
             yield pa.RecordBatch.from_arrays(cols, [*kept, *b.schema.names[2:]])
 
@@ -293,19 +296,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return _model([lang for lang, _ in counts], got.column("cell").to_numpy(), got.column("n").to_numpy())
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = True, keep_row: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score, spans (first_word, end_word, lang) and, if keep_row, row (docs' own columns): one row for each row of docs.
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = True, keep_row: bool = False, explained: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score, spans (first_word, end_word, lang) and, if asked for, explained and row (docs' own columns): one row for each row of docs.
 
     Words are runs of a-z, A-Z and characters beyond ASCII. lang_pred is the language of most of a text's letters, as
-    bytes; score their share of the bytes of words with a letter. A null text, or one without a letter, is "und" with score 0 and no spans or, of symbols,
-    spans of no weight; so are all texts where the model knows no language. Letters in a script of no learned language
-    count for none. Repeated rows give equal rows, null doc_ids stay null, other columns aren't read.
+    bytes; score their share of the bytes of words with a letter. A null text, or one without a letter, is "und" with
+    score 0 and no spans or, of symbols, spans of no weight; so are all texts where the model knows no language. Letters
+    in a script of no learned language count for none; explained is the share of all learned languages together.
+    Repeated rows give equal rows, null doc_ids stay null, other columns aren't read.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.struct("*").alias("row")] * keep_row)
     span = "array<struct<first_word: long, end_word: long, lang: string>>"
     if not model.languages:
-        empty = [F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *[F.array().cast(span).alias("spans")] * spans]
+        empty = [F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *[F.array().cast(span).alias("spans")] * spans, *[F.lit(0.0).alias("explained")] * explained]
         return rows.select("doc_id", *empty, *["row"] * keep_row)
-    return rows.mapInArrow(_label(spark.sparkContext.broadcast(model), spans), with_row(f"doc_id long, lang_pred string, score double{f', spans {span}' * spans}", rows))
+    return rows.mapInArrow(_label(spark.sparkContext.broadcast(model), spans, explained), with_row(f"doc_id long, lang_pred string, score double{f', spans {span}' * spans}{', explained double' * explained}", rows))
