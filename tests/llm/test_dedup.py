@@ -1,11 +1,15 @@
 import hashlib
+import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import cases
+from tidemill.llm import bytewise as bw
 from tidemill.llm import exact_dedup, near_dedup, substrings
 from tidemill.llm.components import connected_components
+from tidemill.llm.shards import runs
 
 
 def shingles(text):
@@ -105,10 +109,11 @@ def expected_repeats(texts, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("length", "block"), [(40, None), (40, 2), (200, None), (200, 3), (9, None)])
-def test_repeats_match_brute_force(spark, monkeypatch, length, block):
+@pytest.mark.parametrize(("length", "block", "most"), [(40, None, 8), (40, 2, 100), (40, 2, 1), (200, None, 8), (200, 3, 100), (9, None, 8)])
+def test_repeats_match_brute_force(spark, monkeypatch, length, block, most):
     if block:
         monkeypatch.setattr(substrings, "BLOCK_SEGMENTS", block)
+        monkeypatch.setattr(substrings, "MOST_BLOCKS", most)
     shared = cases.prose(77, 60)
     extra = [cases.prose(s, 20) + shared[s : 260 + s] + cases.prose(s + 50, 20) for s in range(12)] + ["abcabcabc" * 60, "xabcabcabc" * 50, "\x00" * 450, cases.prose(5, 50) * 3]
     rows = [r for r in cases.rows(extra) if r[1] is None or len(r[1]) < 50_000]
@@ -129,13 +134,44 @@ def test_repeats_of_unique_ids_and_a_very_long_text(spark):
 def test_suffix_array_orders_suffixes():
     r = np.random.default_rng(1)
     data = np.concatenate([r.integers(97, 100, 300), np.full(90, 97), r.integers(97, 99, 200)]).astype(np.uint8)
-    sa, _ = substrings.suffix_array(data, len(data))
     raw = data.tobytes()
-    assert sa.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+    for part in (data, data[300:390], np.zeros(40, np.uint8), data[:1]):
+        words = substrings.eights(part)
+        sa, _ = substrings.suffix_array(words)
+        assert sa.tolist() == sorted(range(len(part)), key=lambda i: part.tobytes()[i:])  # noqa: B023
+        same = [len(os.path.commonprefix([part.tobytes()[a:], part.tobytes()[b:]])) for a, b in zip(sa, sa[1:], strict=False)]
+        assert substrings.kasai(words, sa, 50).tolist() == [0, *(min(x, 50) for x in same)]
     hit = substrings.repeated_in_shard(data, np.arange(len(data) - 39), 40)
     assert hit.tolist() == [raw.count(raw[i : i + 40]) > 1 or raw.find(raw[i : i + 40], i + 1) >= 0 or raw.find(raw[i : i + 40]) < i for i in range(len(data) - 39)]
 
 
+def test_equal_strings_have_equal_anchors_wherever_they_stand(monkeypatch):
+    text = cases.prose(31, 300).encode()
+    anchors = lambda data: [(h, off - t) for s, _ in substrings.pieces(bw.Slice(0, np.frombuffer(data, np.uint8), np.array([0, len(data)])), 200) for _, _, many, off, h, *_ in [substrings.segments(s, 200)] for many, off, h in zip(many, off, h, strict=True) for t in range(many)]
+    own = anchors(text)
+    assert len(own) == len(text) - 199
+    long = cases.prose(32, 20_000).encode()
+    assert anchors(long + text)[-len(own) :] == own
+    monkeypatch.setattr(substrings, "PIECE", 700)
+    assert anchors(text) == own and anchors(long + text)[-len(own) :] == own
+
+
+def test_runs_keep_to_their_target():
+    r = np.random.default_rng(9)
+    key = np.sort(np.concatenate([r.integers(0, 900, 40_000), np.full(3000, 450)]))
+    table = pa.table({"k": key, "v": np.arange(len(key))})
+    for weigh in (None, lambda t: t.column("v").to_numpy() % 5):
+        at = 0
+        for t, starts in runs(iter(table.to_batches(700)), 1, 1000, weigh):
+            k, own = t.column("k").to_numpy(), t.num_rows if weigh is None else int(weigh(t).sum())
+            assert t.column("v").to_numpy().tolist() == list(range(at, at + t.num_rows))
+            assert starts.tolist() == np.flatnonzero(np.append(True, k[1:] != k[:-1])).tolist()
+            assert own <= 1000 or len(starts) == 1
+            at += t.num_rows
+            assert at == len(key) or key[at] != key[at - 1]
+        assert at == len(key)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_large_keys_connect_what_is_near(spark, monkeypatch, seed):
     monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 7)

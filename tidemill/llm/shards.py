@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,14 @@ def block_pairs(df: DataFrame, blocks: str, by: list[str], *salt: str) -> DataFr
     )
 
 
-def runs(batches: Iterator[pa.RecordBatch], n_keys: int, target: int = 1 << 15) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Gather sorted batches into tables that hold whole runs of equal keys, the first n_keys columns; with the runs' starts."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
+def runs(batches: Iterator[pa.RecordBatch], n_keys: int, target: int = 1 << 15, weigh: Callable[[pa.Table], np.ndarray] | None = None) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Gather sorted batches into tables that hold whole runs of equal keys, the first n_keys columns; with the runs' starts.
+
+    A table holds rows of a total weight (by default 1 each) of at most target, or a single run.
+    """
+    held: list[pa.Table] = []
+    mass, due = 0, target
+    weights = weigh or (lambda t: np.ones(t.num_rows, np.int64))
 
     def starts(t: pa.Table) -> np.ndarray:
         new = np.zeros(t.num_rows, bool)
@@ -38,19 +42,29 @@ def runs(batches: Iterator[pa.RecordBatch], n_keys: int, target: int = 1 << 15)
             new[1:] |= x[1:] != x[:-1]
         return np.flatnonzero(new)
 
+    def parts(t: pa.Table, s: np.ndarray) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        ends = np.append(s[1:], t.num_rows)
+        weight = np.cumsum(weights(t))[ends - 1]
+        a = 0
+        while a < len(s):
+            before = weight[a - 1] if a else 0
+            z = max(a + 1, int(np.searchsorted(weight, before + target, "right")))
+            yield t.slice(s[a], ends[z - 1] - s[a]), s[a:z] - s[a]
+            a = z
+
     for b in batches:
         if b.num_rows == 0:
             continue
-        held.append(b)
-        rows += b.num_rows
-        if rows >= target:
-            t = pa.Table.from_batches(held).combine_chunks()
+        held.append(pa.Table.from_batches([b]))
+        mass += int(weights(held[-1]).sum())
+        if mass >= due:
+            t = pa.concat_tables(held).combine_chunks()
             s = starts(t)
             if len(s) > 1:
-                yield t.slice(0, s[-1]), s[:-1]
-            held = t.slice(s[-1]).to_batches()
-            rows = t.num_rows - int(s[-1])
-            target = max(1 << 15, 2 * rows)
+                yield from parts(t.slice(0, s[-1]), s[:-1])
+            held = [t.slice(s[-1])]
+            mass = int(weights(held[0]).sum())
+            due = max(target, 2 * mass)  # a long run is put together anew only as often as it doubles
     if held:
-        t = pa.Table.from_batches(held).combine_chunks()
-        yield t, starts(t)
+        t = pa.concat_tables(held).combine_chunks()
+        yield from parts(t, starts(t))
