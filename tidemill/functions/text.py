@@ -141,3 +141,44 @@ def entity(kind: str, key: Column | str, **properties: Column | str) -> Column:
     """A JSON entity: its key, and each property in a wrapper that names its type."""
     wrapped = [F.struct(col(c).alias(name)).alias(name) for name, c in properties.items()]
     return F.to_json(F.struct(F.struct(F.lit(kind).alias("kind"), col(key).alias("name")).alias("key"), F.struct(*wrapped).alias("properties")))
+
+
+def epoch_time(seconds: Column | str) -> Column:
+    """The time so many seconds, a number or text, after 1970 began (UTC); null for what is no number."""
+    return F.timestamp_micros((col(seconds).cast("string").try_cast("double") * 1_000_000).cast("long"))
+
+
+#: English words of numbers.
+_ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+_TENS = "zero ten twenty thirty forty fifty sixty seventy eighty ninety".split()
+_SCALES = ["", " thousand", " million", " billion", " trillion"]
+
+
+def in_words(number: Column | str) -> Column:
+    """A whole number in English words, as "one thousand, two hundred and five"; null from 10**15 on, with "minus" below 0."""
+    n = col(number).cast("long")
+    size = F.abs(n)
+    word = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+
+    def group(x: Column) -> Column:
+        rest, tens = x % 100, F.floor((x % 100) / 10)
+        small = F.when(rest < 20, word(_ONES, rest)).otherwise(F.concat(word(_TENS, tens), F.when(rest % 10 > 0, F.concat(F.lit("-"), word(_ONES, rest % 10))).otherwise("")))
+        hundreds = F.concat(word(_ONES, F.floor(x / 100)), F.lit(" hundred"))
+        return F.when(x < 100, small).when(rest == 0, hundreds).otherwise(F.concat(hundreds, F.lit(" and "), small))
+
+    groups = [F.floor(size / 10**(3 * k)) % 1000 for k in range(len(_SCALES))]
+    high = [F.when(g > 0, F.concat(group(g), F.lit(name))) for g, name in reversed(list(zip(groups, _SCALES, strict=True))[1:])]
+    above = F.concat_ws(", ", *high)
+    low = groups[0]
+    whole = F.when(size < 1000, group(low)).when(low == 0, above).otherwise(F.concat(above, F.when(low < 100, F.lit(" and ")).otherwise(F.lit(", ")), group(low)))
+    return F.when(size < 10**15, F.concat(F.when(n < 0, F.lit("minus ")).otherwise(F.lit("")), whole))
+
+
+def signature(message: Column | str, key: bytes) -> Column:
+    """The HMAC-SHA256 of a text under a key, as hex digits. The key is part of the plan: give one that may be seen there."""
+    import hashlib
+
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    pad = lambda x: F.unhex(F.lit(bytes(b ^ x for b in block).hex()))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), F.encode(col(message), "UTF-8")), 256))
+    return F.sha2(F.concat(pad(0x5C), inner), 256)

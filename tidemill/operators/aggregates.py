@@ -17,6 +17,7 @@ def group_collect(df: DataFrame, keys: Sequence[str], value: Column, name: str =
 
 
 def group_concat(df: DataFrame, keys: Sequence[str], value: Column, separator: str = "\n", name: str = "text") -> DataFrame:
+    """Each key's values, sorted and joined. For groups of bounded size: a group's text is one value."""
     return df.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(value)), separator).alias(name))
 
 
@@ -122,8 +123,8 @@ def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
 
 def top_per_key(df: DataFrame, keys: Sequence[str], n: int, *order: Column, salts: int = 16) -> DataFrame:
     """Each key's first n rows. Rows are first cut to n in each of so many parts of a key, so that a hot key is no
-    single sort."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
+    single sort, be its rows alike or not."""
+    salt = F.pmod(F.xxhash64(*df.columns, F.spark_partition_id()), F.lit(salts))
     part = Window.partitionBy(*keys, "__salt").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
     cut = df.withColumn("__salt", salt).withColumn("__rank", F.row_number().over(part)).filter(F.col("__rank") <= n).drop("__salt", "__rank")

@@ -65,12 +65,16 @@ def guarded(f: Callable[[str], str], kind: str = "struct<ok:boolean,value:string
     return F.pandas_udf(over, kind)
 
 
+def type_name(value: Column | str) -> Column:
+    """INTEGER for text that is a 32-bit number, else STRING."""
+    text = F.col(value) if isinstance(value, str) else value
+    return F.when(F.coalesce(text.rlike("^[+-]?[0-9]+$") & text.try_cast("int").isNotNull(), F.lit(False)), "INTEGER").otherwise("STRING")
+
+
 def inferred_fields(df: DataFrame, payload: str, arrival: str) -> DataFrame:
     """name, type of each top-level key of JSON objects: INTEGER if its first value is a 32-bit number, else STRING."""
     entries = df.select(arrival, F.explode(F.from_json(payload, "map<string,string>")).alias("name", "value"))
-    whole = F.col("value").rlike("^[+-]?[0-9]+$") & F.col("value").try_cast("int").isNotNull()
-    first = entries.groupBy("name").agg(F.min_by(F.coalesce(whole, F.lit(False)), arrival).alias("whole"))
-    return first.select("name", F.when(F.col("whole"), "INTEGER").otherwise("STRING").alias("type"))
+    return entries.groupBy("name").agg(F.min_by(type_name("value"), arrival).alias("type"))
 
 
 def inferred_schema(df: DataFrame, payload: str, arrival: str, max_fields: int = 10_000) -> T.StructType:

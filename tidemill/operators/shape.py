@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +79,17 @@ def any_of(df: DataFrame, tags: Column, watched: list[str]) -> DataFrame:
 def thinned(df: DataFrame, index: str, first: int = 6, every: int = 6) -> DataFrame:
     """Rows whose index is below first, and then each every-th."""
     return df.filter((F.col(index) < first) | (F.col(index) % every == 0))
+
+
+def per_partition(df: DataFrame, schema: str, setup: Callable[[], object], each: Callable, finish: Callable | None = None) -> DataFrame:
+    """Rows of each(state, pandas DataFrame) for each batch of a task, between setup(), called once before the first, and
+    finish(state), whose rows come last. For clients and the like that are dear to make; all three are pickled."""
+
+    def run(batches: Iterator) -> Iterator:
+        state = setup()
+        for b in batches:
+            yield each(state, b)
+        if finish is not None:
+            yield finish(state)
+
+    return df.mapInPandas(run, schema)

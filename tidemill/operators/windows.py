@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators.aggregates import top_per_key
+from tidemill.operators.joins import numbered
 
 
 def windowed(df: DataFrame, ts: str, size: str, every: str | None = None) -> DataFrame:
@@ -94,30 +96,32 @@ def late_time(ts: str, is_late: Column, by: str) -> Column:
     return F.when(is_late, F.col(ts) - F.expr(f"INTERVAL {by}")).otherwise(F.col(ts))
 
 
-def count_panes(df: DataFrame, keys: Sequence[str], order: Sequence[Column], every: int, value: Column | None = None) -> DataFrame:
+def count_panes(df: DataFrame, keys: Sequence[str], order: Sequence[Column], every: int, value: Column | None = None, spread: bool = False) -> DataFrame:
     """Firings of a trigger that fires after every so many rows of a key: pane_index, accumulated and discarded.
 
-    accumulated counts (or sums value of) all rows so far, discarded those since the firing before.
+    accumulated counts (or sums value of) all rows so far, discarded those since the firing before. spread is for keys
+    that hold much of the data: their rows are numbered by stretches.
     """
-    along = Window.partitionBy(*keys).orderBy(*order)
-    numbered = df.withColumn("__row", F.row_number().over(along)).withColumn("__v", F.lit(1).cast("long") if value is None else value)
-    panes = numbered.withColumn("pane_index", F.floor((F.col("__row") - 1) / every)).groupBy(*keys, "pane_index").agg(F.count("*").alias("__n"), F.sum("__v").alias("discarded")).filter(F.col("__n") == every)
+    rows = numbered(df.withColumn("__v", F.lit(1).cast("long") if value is None else value), *order, keys=keys, name="__row", spread=spread)
+    panes = rows.withColumn("pane_index", F.floor(F.col("__row") / every)).groupBy(*keys, "pane_index").agg(F.count("*").alias("__n"), F.sum("__v").alias("discarded")).filter(F.col("__n") == every)
     so_far = Window.partitionBy(*keys).orderBy("pane_index").rowsBetween(Window.unboundedPreceding, 0)
     return panes.withColumn("accumulated", F.sum("discarded").over(so_far)).drop("__n")
 
 
 def flush_after(df: DataFrame, keys: Sequence[str], order: str, n: int, is_error: Column, value: str) -> DataFrame:
     """keys and items: the first n rows of each key that has as many, in order, without the errors among them; once."""
-    along = Window.partitionBy(*keys).orderBy(order)
-    first = df.withColumn("__row", F.row_number().over(along)).filter(F.col("__row") <= n).withColumn("__bad", is_error)
-    return first.groupBy(*keys).agg(F.count("*").alias("__n"), F.transform(F.array_sort(F.collect_list(F.when(~F.col("__bad"), F.struct(F.col(order).alias("at"), F.col(value).alias("value"))))), lambda x: x["value"]).alias("items")).filter(F.col("__n") == n).drop("__n")
-
-
-def pairs(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
-    """keys, first, second: each two neighbouring values of a key; an odd last one goes."""
-    along = Window.partitionBy(*keys).orderBy(order)
-    both = df.withColumn("__row", F.row_number().over(along)).withColumn("second", F.lead(value).over(along))
-    return both.filter((F.col("__row") % 2 == 1) & F.col("second").isNotNull()).select(*keys, F.col(value).alias("first"), "second")
+    first = top_per_key(df.select(*keys, *[c for c in dict.fromkeys([order, value]) if c not in keys], F.coalesce(is_error, F.lit(False)).alias("__bad")), keys, n, F.asc(order))
+    item = F.when(~F.col("__bad"), F.struct(F.col("rank").alias("at"), F.col(value).alias("value")))
+    return first.groupBy(*keys).agg(F.count("*").alias("__n"), F.transform(F.array_sort(F.collect_list(item)), lambda x: x["value"]).alias("items")).filter(F.col("__n") == n).drop("__n")
+
+
+def pairs(df: DataFrame, keys: Sequence[str], order: str, value: str, spread: bool = False) -> DataFrame:
+    """keys, first, second: each two neighbouring values of a key; an odd last one goes. spread is for keys that hold
+    much of the data."""
+    rows = numbered(df.select(*keys, *[c for c in dict.fromkeys([order, value]) if c not in keys]), F.asc(order), keys=keys, name="__row", spread=spread)
+    odd = lambda k: F.max(F.when(F.col("__row") % 2 == k, F.struct(F.col(value).alias("v"))))
+    both = rows.groupBy(*keys, F.floor(F.col("__row") / 2).alias("__pair")).agg(F.count("*").alias("__n"), odd(0).alias("a"), odd(1).alias("b"))
+    return both.filter("__n = 2").select(*keys, F.col("a.v").alias("first"), F.col("b.v").alias("second"))
 
 
 def rewindowed(df: DataFrame, window: str, size: str) -> DataFrame:

@@ -294,10 +294,9 @@ def assign_sessions(spark, sf_dir):
 
 @query(_RANGES)
 def assign_sessions_binned(spark, sf_dir):
-    """As assign_sessions, for more ranges than can be broadcast: both sides meet in bins of half a day."""
+    """As assign_sessions, for more ranges than are compared one by one, or can be broadcast: both sides meet in bins."""
     ranges, events = _assigned(spark, sf_dir)
-    seconds = lambda df, *names: df.withColumns({n: F.unix_micros(F.col(n).cast("timestamp")) / 1e6 for n in names})
-    return _per_range(J.assign_ranges(seconds(events, "ts"), seconds(ranges, "start", "stop"), "ts", "start", "stop", "ord", ["event_id"], bin_width=43_200, max_rows=0))
+    return _per_range(J.assign_ranges(events, ranges, "ts", "start", "stop", "ord", ["event_id"], few=0, max_rows=0))
 
 
 _GLOBS = [("https://*", "secure"), ("*.example.org/*", "org"), ("*/en/*", "english"), ("http://?.*", "one letter host"), ("*#top", "top")]
@@ -341,9 +340,8 @@ def zip_by_index(spark, sf_dir):
 
 @query("""SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.n, 0) AS clicks, coalesce(b.n, 0) AS errors FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) a FULL JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' AND value > 300 GROUP BY 1) b ON a.user_id = b.user_id""")
 def cogroup_sizes(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
-    both = J.cogroup(e.filter("event_type = 'click'"), e.filter("event_type = 'error' AND value > 300"), ["user_id"], F.col("event_id"), F.col("event_id"))
-    return both.select("user_id", F.size("left_items").cast("long").alias("clicks"), F.size("right_items").cast("long").alias("errors"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "value")
+    return J.cogroup_counts(e.filter("event_type = 'click'"), e.filter("event_type = 'error' AND value > 300"), ["user_id"]).select("user_id", F.col("left_n").alias("clicks"), F.col("right_n").alias("errors"))
 
 
 # event time
@@ -416,12 +414,12 @@ def rewindow(spark, sf_dir):
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events), p AS (SELECT event_type, (r - 1) // 50 AS pane_index, sum(value) AS d FROM r GROUP BY ALL HAVING count(*) = 50)
 SELECT event_type, pane_index, round(d, 4) AS discarded, round(sum(d) OVER (PARTITION BY event_type ORDER BY pane_index), 4) AS accumulated FROM p""")
 def aftercount_panes(spark, sf_dir):
-    return rounded(W.count_panes(table(spark, sf_dir, "events"), ["event_type"], [F.asc("event_id")], 50, F.col("value")), "discarded", "accumulated")
+    return rounded(W.count_panes(table(spark, sf_dir, "events"), ["event_type"], [F.asc("event_id")], 50, F.col("value"), spread=True), "discarded", "accumulated").select("event_type", "pane_index", "discarded", "accumulated")
 
 
 @query("SELECT event_type, event_id, pane_index FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS pane_index FROM events) WHERE pane_index < 6 OR pane_index % 6 = 0")
 def adaptive_pane_filter(spark, sf_dir):
-    return S.thinned(J.numbered(table(spark, sf_dir, "events").select("event_type", "event_id"), F.asc("event_id"), keys=["event_type"], name="pane_index"), "pane_index")
+    return S.thinned(J.numbered(table(spark, sf_dir, "events").select("event_type", "event_id"), F.asc("event_id"), keys=["event_type"], name="pane_index", spread=True), "pane_index")
 
 
 @query("""WITH r AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders)
@@ -460,11 +458,6 @@ def schema_autodetect(spark, sf_dir):
     return Q.inferred_fields(e.select("event_id", text.alias("payload")), "payload", "event_id")
 
 
-@query("SELECT event_type AS destination, count(*) AS n FROM events GROUP BY 1")
-def route_by_type(spark, sf_dir):
-    return A.count_per_key(table(spark, sf_dir, "events").select(F.col("event_type").alias("destination")), "destination")
-
-
 # sources and sinks, there and back
 
 

@@ -29,7 +29,7 @@ def write_csv(df: DataFrame, path: str, header: bool = True, quote_all: bool = T
 
 def write_by_key(df: DataFrame, path: str, key: str, line: Column, spread: int = 1) -> None:
     """A folder key=... of lines for each key; a key's rows go to one file, or to spread files where keys are large."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(spread))
+    salt = F.pmod(F.xxhash64(*df.columns, F.spark_partition_id()), F.lit(spread))  # equal rows are spread too
     df.select(key, line.alias("value"), salt.alias("__salt")).repartition(F.col(key), F.col("__salt")).drop("__salt").write.partitionBy(key).text(path)
 
 
@@ -77,7 +77,7 @@ def write_binary(df: DataFrame, folder: str, name: str, data: str) -> int:
         n = 0
         for b in batches:
             for file, content in zip(b[name], b[data], strict=True):
-                with store.open_output_stream(f"{base}/{file}") as f:
+                with store.open_output_stream(f"{base}/{file}", compression=None) as f:  # as it is, whatever it is called
                     f.write(content)
                 n += 1
         yield pd.DataFrame({"n": [n]})

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tidemill.operators.joins import upsert
 from tidemill.operators.quality import error_table, split_bad, typed
+from tidemill.scratch import remove
 
 #: Destinations that rows may be routed to, each with a schema of its own.
 MAX_DESTINATIONS = 1000
@@ -35,7 +36,7 @@ def write_table(df: DataFrame, path: str, schema: T.StructType | None = None, tr
 
 def route(df: DataFrame, destination: Column, root: str) -> None:
     """Append rows to root/destination=<name>, in one pass, whatever the number of destinations."""
-    df.withColumn("destination", destination).repartition("destination", F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("append").partitionBy("destination").parquet(root)
+    df.withColumn("destination", destination).repartition("destination", F.pmod(F.xxhash64(*df.columns, F.spark_partition_id()), F.lit(8))).write.mode("append").partitionBy("destination").parquet(root)
 
 
 def route_by_schema(df: DataFrame, destination: Column, root: str, schemas: Mapping[str, Sequence[Column]]) -> dict[str, str]:
@@ -64,18 +65,33 @@ def write_typed(df: DataFrame, schema: T.StructType, path: str, errors: str | No
     return path, bad_path
 
 
-def merge_table(spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[str]) -> str:
-    """Upsert changes into a Parquet table: the merged table is written beside it and then takes its place."""
-    fresh, old = f"{path}-{uuid.uuid4().hex}", f"{path}-old-{uuid.uuid4().hex}"
-    merged = upsert(spark.read.parquet(path), changes, keys) if exists(spark, path) else changes
-    merged.write.parquet(fresh)
+def recovered(spark: SparkSession, path: str) -> bool:
+    """Put a table back that a merge had moved aside and, ended half-way, not replaced; whether there was one."""
+    if exists(spark, path) or not exists(spark, f"{path}-old"):
+        return False
+    return _renamed(spark, f"{path}-old", path)
+
+
+def _renamed(spark: SparkSession, a: str, b: str) -> bool:
     jvm = spark.sparkContext._jvm
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
-    fs.rename(at(fresh), at(path))
-    if fs.exists(at(old)):
-        fs.delete(at(old), True)
+    return at(a).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(at(a), at(b))
+
+
+def merge_table(spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[str]) -> str:
+    """Upsert changes into a Parquet table: the merged table is written beside it and then takes its place.
+
+    For one writer at a time. Between two renames the table is at path-old alone: a merge that ends there is undone by
+    the next one, or by recovered().
+    """
+    recovered(spark, path)
+    fresh, old = f"{path}-{uuid.uuid4().hex}", f"{path}-old"
+    there = exists(spark, path)
+    (upsert(spark.read.parquet(path), changes, keys) if there else changes).write.parquet(fresh)
+    remove(spark, old)
+    if there:
+        _renamed(spark, path, old)
+    _renamed(spark, fresh, path)
+    remove(spark, old)
     spark.catalog.refreshByPath(path)
     return path

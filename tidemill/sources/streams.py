@@ -47,6 +47,9 @@ def decoded(payload: str) -> Column:
     return F.decode(payload, "UTF-8")
 
 
-def heartbeat(spark: SparkSession, seconds: int = 5) -> DataFrame:
-    """beat, ts: a row each so many seconds."""
-    return spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("advanceMillisPerBatch", seconds * 1000).load().select(F.col("value").alias("beat"), F.col("timestamp").alias("ts"))
+def heartbeat(spark: SparkSession, seconds: int = 5, start_ms: int | None = None) -> DataFrame:
+    """beat, ts: a row each so many seconds of event time, one a micro-batch, from start_ms or now on."""
+    reader = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("advanceMillisPerBatch", seconds * 1000)
+    if start_ms is not None:
+        reader = reader.option("startTimestamp", start_ms)
+    return reader.load().select(F.col("value").alias("beat"), F.col("timestamp").alias("ts"))

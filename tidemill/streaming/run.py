@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,14 @@ def appended(path: str) -> Writer:
     return lambda df: df.write.mode("append").parquet(path)
 
 
+def inserted(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Handle what there is now by the file sink, row by row of each micro-batch and exactly once, and end: the other way
+    than loading batches by available(stream, appended(path), ...)."""
+    started = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    started.awaitTermination()
+    return started
+
+
 def sent(folder: str, payload: str) -> Writer:
     """Messages to a topic's folder."""
     return lambda df: df.select(F.col(payload).cast("string").alias("payload"), F.current_timestamp().alias("publish_time")).write.mode("append").json(folder)
@@ -99,6 +108,22 @@ def wait_then(query: StreamingQuery, act: Callable[[], object], seconds: float |
     return act()
 
 
+@contextmanager
+def labelled(spark: SparkSession, *labels: str) -> Iterator[None]:
+    """Jobs that are started within carry these labels; cancel(spark, label) ends those of a label."""
+    for x in labels:
+        spark.sparkContext.addJobTag(x)
+    try:
+        yield
+    finally:
+        for x in labels:
+            spark.sparkContext.removeJobTag(x)
+
+
+def cancel(spark: SparkSession, label: str) -> None:
+    spark.sparkContext.cancelJobsWithTag(label)
+
+
 def active(spark: SparkSession) -> Mapping[str, StreamingQuery]:
     return {q.name or q.id: q for q in spark.streams.active}
 

@@ -18,6 +18,12 @@ def counted(stream: DataFrame, ts: str, size: str, delay: str, every: str | None
     return stream.withWatermark(ts, delay).groupBy(*keys, w.alias("w")).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n")
 
 
+def counted_at_end(stream: DataFrame, ts: str, size: str, delay: str) -> DataFrame:
+    """at, n: windows' counts stamped with the window's last moment, a microsecond before its end, as later windows see it."""
+    grouped = stream.withWatermark(ts, delay).groupBy(F.window(ts, size).alias("w")).agg(F.count("*").alias("n"))
+    return grouped.select(F.window_time("w").alias("at"), "n")
+
+
 def sessions(stream: DataFrame, keys: Sequence[str], ts: str, gap_seconds: Column | float, delay: str, *measures: Column) -> DataFrame:
     """keys, session_start, session_end, n and measures; gap_seconds is a number or a column of each row's own, above 0."""
     gap = gap_seconds if isinstance(gap_seconds, Column) else F.lit(float(gap_seconds))
