@@ -8,7 +8,7 @@ from tidemill.llm.html_tree import parse
 def test_parser_closes_what_pages_leave_open():
     t = parse("<div><p>a<b>b<p>c<ul><li>d<li>e</ul></div><script>if (a < b) '<p>'</script><br>f<!-- <p> --><img src='>'>g</x>")
     shape = [(t.tag[i], t.tag[t.parent[i]]) for i in range(1, len(t.tag))]
-    assert shape == [("div", ""), ("p", "div"), ("b", "p"), ("p", "div"), ("ul", "div"), ("li", "ul"), ("li", "ul"), ("script", ""), ("br", ""), ("img", "")]
+    assert shape == [("div", ""), ("p", "div"), ("b", "p"), ("p", "div"), ("ul", "div"), ("li", "ul"), ("li", "ul"), ("script", ""), ("br", ""), ("body", ""), ("img", "body")]
     assert [x for i, x in t.pieces if i >= 0] == ["a", "b", "c", "d", "e", "if (a < b) '<p>'", "f", "g"]
 
 
@@ -100,3 +100,31 @@ def test_attributes_are_read_to_their_end():
         assert (near == away).all()
         got = html_extract.extract_texts([near_page, far_page], html_extract.default_model())
         assert got[0] == got[1] and got[0].startswith("Some title One sentence")
+
+
+def test_pages_of_other_shapes_are_read():
+    """Pages written apart from the generator that trees are fitted on."""
+    from tests.llm import other_pages
+
+    pages = other_pages.made(30, seed=12)
+    got = html_extract.extract_texts([p for _, p, _ in pages], html_extract.default_model())
+    exact = {}
+    for (shape, _, want), text in zip(pages, got, strict=True):
+        exact.setdefault(shape, []).append(text == want)
+    assert all(sum(x) >= 0.9 * len(x) for x in exact.values()), {k: sum(x) for k, x in exact.items()}
+
+
+def test_what_is_not_shown_or_sold_goes_and_references_stay_in_their_text():
+    p = "<p>One sentence of the article, and then another one, of words.</p>"
+    body = "<body><article><h1>Some title</h1>" + p * 3 + "{}" + p + "</article></body>"
+    text = "One sentence of the article, and then another one, of words."
+    rest = " ".join([text] * 3), text
+    got = lambda inner: html_extract.extract_texts([body.format(inner)], html_extract.default_model())[0]
+    for inner in ('<p hidden>no, not this one, at all</p>', '<div style="display :none">no, not this</div>', '<p>Fine words here, and more.<span class="ad">buy now</span></p>'):
+        want = "Fine words here, and more." if "Fine" in inner else ""
+        assert got(inner) == " ".join(x for x in ("Some title", rest[0], want, rest[1]) if x)
+    assert "Fi&amp;rst, and R&D." in got("<p>Fi&am<b>p</b>;rst, and R&amp;D.</p>")  # a reference is of one text
+
+
+def test_text_that_nothing_holds():
+    assert html_extract.extract_texts(["Para one, of some words.<br><br>Para two, and some more.", "Plain text &amp; no more."], html_extract.default_model()) == ["Para one, of some words. Para two, and some more.", "Plain text & no more."]

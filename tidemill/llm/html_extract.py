@@ -31,9 +31,9 @@ TAGS = {
     "line": " ".join(sorted(INLINE - {"a", "label", "img"})), "link": "a", "page": "html body",
 }
 WORDS = {
-    "main": "article content main post entry story body text maincontent prose", "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs", "header": "header masthead topbar banner logo branding hero",
-    "footer": "footer copyright legal colophon bottom", "side": "sidebar side aside rail widget related recommended trending popular", "notice": "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup paywall",
-    "advert": "ad ads advert advertisement adverts sponsor sponsored promo promotion promoted outbrain taboola dfp", "comment": "comment comments reply replies respond disqus discussion thread", "share": "share sharing social tweet facebook follow buttons tools meta byline tags",
+    "main": "article content main post entry story body text maincontent prose", "menu": "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc tabs", "header": "header masthead topbar banner logo branding hero",
+    "footer": "footer copyright legal colophon bottom contentinfo", "side": "sidebar side aside rail widget widgets related recommended trending popular complementary secondary", "notice": "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup paywall",
+    "advert": "ad ads advert advertisement adverts sponsor sponsored promo promotion promoted outbrain taboola dfp", "comment": "comment comments commentlist reply replies respond responses disqus discussion thread", "share": "share sharing social tweet facebook follow buttons tools meta byline tags",
     "hidden": "hidden none invisible offscreen",
 }
 _TAG_BIT = {t: 1 << i for i, group in enumerate(TAGS.values()) for t in group.split()}
@@ -46,6 +46,8 @@ ENTER, LEAVE = 1.0, 1.0
 
 #: Attributes shorter than this are remembered, so that what is remembered stays small.
 SHORT = 400
+#: Beyond the features' bits: the element isn't shown.
+UNSEEN = 1 << BITS
 
 
 def _bits(tag: str, raw: str) -> int:
@@ -55,8 +57,10 @@ def _bits(tag: str, raw: str) -> int:
         tokens = " ".join(a.get(k, "") for k in ("class", "id", "role", "itemprop", "aria-label")).lower()
         for sep in "-_:/.":
             tokens = tokens.replace(sep, " ")
-        if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
+        unseen = "hidden" in a or "display:none" in "".join(a.get("style", "").split()).lower()
+        if unseen or a.get("aria-hidden") == "true":
             tokens += " hidden"
+        out |= UNSEEN * unseen
         for w in tokens.split():
             out |= _WORD_BIT.get(w, 0)
     return out
@@ -65,6 +69,10 @@ def _bits(tag: str, raw: str) -> int:
 _short_bits = functools.lru_cache(65536)(_bits)
 
 
+def bits_of(tag: str, raw: str) -> int:
+    return (_short_bits if len(raw) < SHORT else _bits)(tag, raw)
+
+
 def features(trees: list[Tree]) -> np.ndarray:
     """A row for each element of each tree, in order."""
     own, above, parent, last, depth, base, sibling, siblings = [], [], [], [], [], [], [], []
@@ -72,7 +80,7 @@ def features(trees: list[Tree]) -> np.ndarray:
     at = 0
     for t in trees:
         n = len(t.tag)
-        bits = [(_short_bits if len(raw) < SHORT else _bits)(tag, raw) for tag, raw in zip(t.tag, t.attrs, strict=True)]
+        bits = [bits_of(tag, raw) for tag, raw in zip(t.tag, t.attrs, strict=True)]
         up = [0] * n
         children = [0] * n
         place = [0] * n
@@ -132,7 +140,7 @@ def decode(t: Tree, odds: list[float]) -> list[bool]:
             length[i] += len(piece)
     outside, inside = [0.0] * n, [0.0] * n
     for i in range(n - 1, -1, -1):
-        inside[i] += -1e9 if t.tag[i] in _ALWAYS_OUT else max(-6.0, min(6.0, odds[i])) * (0.3 + min(length[i], 400) / 100)
+        inside[i] += -1e9 if t.tag[i] in _ALWAYS_OUT or bits_of(t.tag[i], t.attrs[i]) & UNSEEN else max(-6.0, min(6.0, odds[i])) * (0.3 + min(length[i], 400) / 100)
         p = t.parent[i]
         if p >= 0:
             outside[p] += max(outside[i], inside[i] - ENTER)
@@ -152,9 +160,8 @@ def decode(t: Tree, odds: list[float]) -> list[bool]:
 
 
 def text_of(t: Tree, state: list[bool]) -> str:
-    """Main text: blocks' white space as one space, blocks joined by one space."""
-    raw = "".join(" " if i < 0 else piece for i, piece in t.pieces if i < 0 or state[i])
-    return " ".join((entities.unescape(raw) if "&" in raw else raw).split())
+    """Main text: references of each piece decoded, blocks' white space as one space, blocks joined by one space."""
+    return " ".join("".join(" " if i < 0 else entities.unescape(piece) if "&" in piece else piece for i, piece in t.pieces if i < 0 or state[i]).split())
 
 
 def _page(r: random.Random) -> tuple[str, str]:
@@ -173,11 +180,22 @@ def _page(r: random.Random) -> tuple[str, str]:
         return f"<{use}{attr}>{inner}</{use}>"
 
     links = lambda n: "<ul>" + "".join(f'<li><a href="/{word()}">{few(1, 3)}</a></li>' for _ in range(n)) + "</ul>"
-    advert = lambda: f'<div class="{r.choice(["ad", "ads", "advert", "ad-slot", "sponsored", "promo"])}">{few(3, 20)}{r.choice(["", "."])}</div>'
+    name = lambda names: r.choice(names.split()) + r.choice(["", "", "-" + word(), " " + word(), "-box", "-container", "-wrapper", "-area"])
+    inside = lambda: r.choice([few(3, 20), few(3, 20) + ".", f"<p>{prose(1, 2)}</p>", f"<span>{few(1, 3)}</span><p>{prose(1, 2)}</p>", f"<h3>{few(1, 4)}</h3><p>{prose(1, 3)}</p>"])
+    advert = lambda: f'<div {r.choice(["class", "class", "id"])}="{name("ad ads advert advertisement sponsored promo")}">{inside()}</div>'
+    signup = lambda: f'<div class="{name("newsletter signup subscribe")}"><p>{prose(1, 2)}</p><form><input><button>{word()}</button></form></div>'
+    widgets = lambda: f'<div {r.choice(["class", "id"])}="{name("sidebar widgets secondary rail")}">' + "".join(f'<div class="{name("widget related popular")}"><h4>{few(1, 3)}</h4>{r.choice([links(r.randint(2, 6)), f"<p>{prose(1, 3)}</p>"])}</div>' for _ in range(r.randint(1, 3))) + "</div>"
     end = lambda tag: f"</{tag}>" if r.random() < 0.9 else ""
 
+    unseen = lambda inner: r.choice([f"<p hidden>{inner}</p>", f'<div style="display: none">{inner}</div>', f'<p class="hidden">{inner}</p>'])
+    in_line = lambda: r.choice([f'<span class="{r.choice(["ad", "advert", "sponsored", "promo-box"])}">{few(1, 6)}</span>', f'<a class="{r.choice(["share", "comment-reply", "ad-link"])}" href="/{word()}">{few(1, 3)}</a>'])
+
     def paragraph() -> str:
         kind = r.random()
+        if kind < 0.04:
+            return f"<p>\x01{prose(1, 3)}\x02{in_line()}\x01{r.choice(['', sentence()])}\x02{end('p')}"
+        if kind < 0.07:
+            return unseen(prose(1, 2))
         if kind < 0.62:
             return f"<p>\x01{prose(1, 7)}{r.choice(['', f' <a href=/{word()}>{few(1, 4)}</a> ' + sentence(), f' <b>{few(1, 3)}</b> ' + sentence()])}\x02{end('p')}"
         if kind < 0.72:
@@ -192,9 +210,12 @@ def _page(r: random.Random) -> tuple[str, str]:
             return "<table>" + "".join(f"<tr><td>\x01{few(1, 3)}\x02</td><td>\x01{few(1, 5)}\x02</td></tr>" for _ in range(r.randint(2, 5))) + "</table>"
         if kind < 0.94:
             return f"<pre>\x01{few(4, 20)}\x02</pre>"
-        return r.choice([advert(), f'<div class="share">{few(2, 5)}</div>', box("aside", "related newsletter promo", few(2, 6) + links(3)), f"<script>{word()}()</script>", f"<form class=signup><label>{few(2, 5)}</label><input><button>{word()}</button></form>"])
+        return r.choice([advert(), advert(), signup(), f'<div class="share">{few(2, 5)}</div>', box("aside", "related newsletter promo", few(2, 6) + links(3)), f"<script>{word()}()</script>", f"<form class=signup><label>{few(2, 5)}</label><input><button>{word()}</button></form>"])
 
     title = few(2, 10)
+    if r.random() < 0.09:  # text that nothing, or hardly anything, holds
+        parts = [f"\x01{prose(1, 6)}\x02" for _ in range(r.choice([1, 1, 2, 3, 5, 8]))]
+        return r.choice(["<br><br>", "<br>\n", "\n\n", "<p>"]).join(parts), title
     heading = f"<h1>\x01{title}\x02</h1>" if r.random() < 0.92 else ""
     if r.random() < 0.25:
         heading += box("div", "byline meta share", few(2, 6))
@@ -212,7 +233,7 @@ def _page(r: random.Random) -> tuple[str, str]:
         article += comments
     header = box("header", "header masthead site-header topbar", f"<a href=/>{few(1, 3)}</a>" + (f"<p>{few(3, 10)}</p>" if r.random() < 0.4 else "")) if r.random() < 0.6 else ""
     nav = box("nav", "nav menu navbar navigation breadcrumb", links(r.randint(2, 9))) if r.random() < 0.85 else ""
-    side = box("aside", "sidebar side rail widget related", f"<h3>{few(1, 3)}</h3>" + links(r.randint(2, 7)) + (f"<p>{prose(1, 2)}</p>" if r.random() < 0.5 else "")) if r.random() < 0.45 else ""
+    side = box("aside", "sidebar side rail widget related", f"<h3>{few(1, 3)}</h3>" + links(r.randint(2, 7)) + (f"<p>{prose(1, 2)}</p>" if r.random() < 0.5 else "")) if r.random() < 0.4 else widgets() if r.random() < 0.6 else ""
     notice = box("div", "cookie-notice consent notice alert popup gdpr", f"<p>{prose(1, 2)}</p><button>{word()}</button>") if r.random() < 0.35 else ""
     footer = box("footer", "footer site-footer copyright legal", r.choice([f"&copy; {few(1, 8)}", f"<p>&copy; {few(1, 4)} &middot; {prose(1, 2)}</p>" + links(3), links(4)])) if r.random() < 0.9 else ""
     parts = [notice, header, nav, advert() if r.random() < 0.5 else "", side if r.random() < 0.5 else "", article, side if r.random() < 0.5 else "", box("form", "newsletter signup login", f"<label>{few(2, 8)}</label><input>", "form") if r.random() < 0.2 else "", footer]

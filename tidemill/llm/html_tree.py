@@ -38,7 +38,8 @@ def attributes(raw: str) -> dict[str, str]:
 
 
 def parse(html: str) -> Tree:
-    """The tree of a page. Element 0 is a root without tag; unclosed elements end with what holds them."""
+    """The tree of a page. Element 0 is a root without tag; unclosed elements end with what holds them. Text and inline
+    elements that nothing holds are in a body of their own, and so is what follows them, as in browsers."""
     t = Tree([""], [""], [-1], [0], [0], [])
     open_, at = [0], 0
     pieces = t.pieces
@@ -48,11 +49,21 @@ def parse(html: str) -> Tree:
         while len(open_) > to:
             t.last[open_.pop()] = end
 
+    def begin_at(tag: str, attrs: str) -> int:
+        t.tag.append(tag)
+        t.attrs.append(attrs)
+        t.parent.append(open_[-1])
+        t.depth.append(len(open_))
+        t.last.append(len(t.tag) - 1)
+        return len(t.tag) - 1
+
     n = len(html)
     while at < n:
         m = _TOKEN.search(html, at)
         begin = m.start() if m else n
         if begin > at:
+            if len(open_) == 1 and not html[at:begin].isspace():
+                open_.append(begin_at("body", ""))
             pieces.append((open_[-1], html[at:begin]))
         if not m:
             break
@@ -79,12 +90,9 @@ def parse(html: str) -> Tree:
                         break
                 elif name in holds:
                     break
-        t.tag.append(tag)
-        t.attrs.append(m["attrs"])
-        t.parent.append(open_[-1])
-        t.depth.append(len(open_))
-        own = len(t.tag) - 1
-        t.last.append(own)
+        if tag in INLINE and len(open_) == 1:
+            open_.append(begin_at("body", ""))
+        own = begin_at(tag, m["attrs"])
         if tag in VOID or m["attrs"].endswith("/") and tag not in RAW and tag not in _P_ENDERS:
             continue
         if tag in RAW:
