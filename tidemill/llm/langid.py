@@ -144,21 +144,26 @@ class Scores:
         return np.where(may, got, np.where(may.any(axis=1), np.float32(-1e6), np.float32(0))[:, None])
 
 
-@functools.lru_cache(4096)
-def _has_letter(word: bytes) -> bool:
-    return any(c.isalpha() for c in word.decode("utf-8", "ignore"))
-
-
-def _lettered(s: bw.Slice, w: bw.Words, script: np.ndarray) -> np.ndarray:
-    """For each word whether it holds a letter; of words that don't begin with a symbol it is taken for granted."""
-    out = np.ones(len(script), bool)
-    led = np.flatnonzero(script == 0)
-    if len(led):
-        size = w.end[led] - w.start[led]
-        plain = np.add.reduceat((_SCRIPT[bw.LOWER[s.data[bw.ranges(w.start[led], size)]]] > 0).astype(np.int64), np.cumsum(size) - size) == 0
-        for i in led[plain].tolist():
-            word = s.data[w.start[i] : w.end[i]].tobytes()
-            out[i] = _has_letter(word) if len(word) < 64 else _has_letter.__wrapped__(word)
+@functools.lru_cache(1)
+def _letters() -> np.ndarray:
+    """For each code point whether it is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+def _lettered(s: bw.Slice, w: bw.Words) -> np.ndarray:
+    """For each word whether it holds a letter, by its code points."""
+    low = bw.LOWER[s.data]
+    plain = np.concatenate([[0], np.cumsum((low >= 0x61) & (low < 0x7B))])
+    out = plain[w.end] > plain[w.start]
+    rest = np.flatnonzero(~out)
+    if len(rest):
+        size = w.end[rest] - w.start[rest]
+        at = bw.ranges(w.start[rest], size)
+        begins = s.data[at] >= 0xC0
+        word, at = np.repeat(np.arange(len(rest)), size)[begins], at[begins]
+        b0, b1, b2, b3 = (s.data[np.minimum(at + k, len(s.data) - 1)].astype(np.int64) & (0xFF if k == 0 else 0x3F) for k in range(4))
+        point = np.where(b0 < 0xE0, (b0 & 0x1F) << 6 | b1, np.where(b0 < 0xF0, (b0 & 0x0F) << 12 | b1 << 6 | b2, (b0 & 0x07) << 18 | b1 << 12 | b2 << 6 | b3))
+        out[rest] = np.bincount(word, _letters()[np.minimum(point, 0x10FFFF)], len(rest)) > 0
     return out
 
 
@@ -171,7 +176,7 @@ def word_scores(texts: pa.Array, model: Model) -> tuple[Scores, np.ndarray, np.n
         indices.append(index)
         sizes.append(w.end - w.start)
         scripts.append(script)
-        weights.append(sizes[-1] * _lettered(s, w, script))
+        weights.append(sizes[-1] * _lettered(s, w))
         per_row.append(np.diff(w.first))
     cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
     size, script = cat(sizes, np.int64), cat(scripts, np.uint8)
@@ -242,12 +247,8 @@ def _label(model_of, spans: bool, explained: bool = False):
             total = np.bincount(row, weights=size, minlength=b.num_rows)
             pred = by.argmax(axis=1)
             score = by[np.arange(b.num_rows), pred] / np.maximum(total, 1)
-            for r in np.flatnonzero(counts == 0).tolist():
-                pred[r], score[r] = n, 0
-            latin = np.concatenate([[0], np.cumsum(LETTER[low := bw.LOWER[part.data]] & (low < 0x80))])[part.offsets]
-            for r in np.flatnonzero((latin[1:] == latin[:-1]) & (counts > 0)).tolist():
-                if not any(c.isalpha() for c in texts[r].as_py() or ""):
-                    pred[r], score[r] = n, 0
+            none = total == 0  # no word with a letter
+            pred[none], score[none] = n, 0
             cols = [b.column(0), pa.array(names[pred].tolist(), pa.string()), pa.array(np.clip(score, 0.0, 1.0))]
             kept = ["doc_id", "lang_pred", "score"]
             if spans:
