@@ -3,7 +3,8 @@
 Each document's rolling hashes of three words are joined to the places of the same three words in license templates;
 a place's offset, document position less template position, is its diagonal. A copy of a template, however it is cut,
 votes for one diagonal, and one with words put in or left out for neighbouring ones, which are merged. A merged run is
-verified by the share of the template's places that it holds and by its length.
+verified by the share of the template's places that it holds and by its length; of runs of different labels that overlap,
+the one of the greatest share stays, as licenses resemble each other.
 """
 
 from __future__ import annotations
@@ -32,6 +33,12 @@ PASSAGES = {
 NEAR, LEAST_SHARE, STRETCH = 3, 0.6, 1.5
 
 
+def text_key(text: str) -> list[Column]:
+    """h1, h2: two 64-bit hashes of a text. Each value's hash is seeded by the one before it, so a constant goes first:
+    after the text it would only hash h1 once more."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
 def _grams(words: str) -> Column:
     """Elements (w0, w1, w2) of neighbouring words."""
     w = F.col(words)
@@ -63,7 +70,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    keyed = texts.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), word_array(ascii_lower(F.col("text"))).alias("words"))
+    keyed = texts.select("doc_id", *text_key("text"), word_array(ascii_lower(F.col("text"))).alias("words"))
     key = ["h1", "h2"]
     kinds = templates(spark, BASE if base is None else base, PASSAGES if passages is None else passages).withColumn("length", F.size("words"))
     known = _places(kinds, "template", "label", "is_base", "length").withColumnRenamed("pos", "at")  # as large as the templates given
@@ -75,7 +82,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tallied = votes.filter("NOT is_base").groupBy(*per, "diagonal").agg(F.collect_set("at").alias("at"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     runs = tallied.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(along) > NEAR).cast("int")).withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(along))
     merged = runs.groupBy(*per, "run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"), F.min("lo").alias("first_word"), (F.max("hi") + GRAM).alias("end_word"))
-    partial = merged.withColumn("share", F.col("n") / (F.col("length") - GRAM + 1)).filter((F.col("share") >= LEAST_SHARE) & (F.col("end_word") - F.col("first_word") <= STRETCH * F.col("length"))).select(*key, "label", "is_base", "first_word", "end_word", "share")
+    kept = merged.withColumn("share", F.col("n") / (F.col("length") - GRAM + 1)).filter((F.col("share") >= LEAST_SHARE) & (F.col("end_word") - F.col("first_word") <= STRETCH * F.col("length"))).select(*key, "label", "is_base", "first_word", "end_word", "share")
+    # passages resemble each other: of runs that overlap, those of another label and a greater share stay
+    reach = int(STRETCH * max([len(t.split(" ")) for t in (PASSAGES if passages is None else passages)], default=0))
+    near = Window.partitionBy(*key).orderBy("first_word").rangeBetween(-reach, reach)
+    beside = kept.withColumn("near", F.collect_list(F.struct("label", "first_word", "end_word", "share")).over(near))  # a few for each word within reach
+    better = F.exists("near", lambda x: (x["label"] != F.col("label")) & (x["share"] > F.col("share")) & (x["first_word"] < F.col("end_word")) & (F.col("first_word") < x["end_word"]))
+    partial = beside.filter(~better).drop("near")
     found = whole.union(partial).groupBy(*key).agg(
         F.count_if("is_base").alias("n_base"),
         F.min(F.when(F.col("is_base"), F.col("first_word"))).alias("first_word"),

@@ -93,7 +93,8 @@ b AS (SELECT doc_id, label, true AS is_base, dia AS first, 1.0::DOUBLE AS share
 l AS (SELECT *, coalesce((dia - lag(dia) OVER (PARTITION BY doc_id, template ORDER BY dia) > {licenses.NEAR})::INTEGER, 0) AS new FROM (SELECT doc_id, template, label, size, dia, list(tp) AS tps, min(pos) AS lo, max(pos) AS hi FROM v WHERE NOT is_base GROUP BY ALL)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY dia) AS run FROM l),
 c AS (SELECT doc_id, label, false AS is_base, min(lo) AS first, len(list_distinct(flatten(list(tps))))::DOUBLE / (any_value(size) - 2) AS share, max(hi) + 3 - min(lo) AS span, any_value(size) AS size FROM r GROUP BY doc_id, template, label, run),
-f AS (SELECT * FROM b UNION ALL SELECT doc_id, label, is_base, first, share FROM c WHERE share >= {licenses.LEAST_SHARE} AND span <= {licenses.STRETCH} * size),
+y AS MATERIALIZED (SELECT *, first + span AS stop FROM c WHERE share >= {licenses.LEAST_SHARE} AND span <= {licenses.STRETCH} * size),
+f AS (SELECT * FROM b UNION ALL SELECT doc_id, label, is_base, first, share FROM y WHERE NOT EXISTS (SELECT 1 FROM y z WHERE z.doc_id = y.doc_id AND z.label <> y.label AND z.share > y.share AND z.first < y.stop AND y.first < z.stop)),
 o AS (SELECT doc_id, count(*) FILTER (is_base) AS n_base, min(first) FILTER (is_base) AS first_word, max(first) FILTER (is_base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM f GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score FROM d LEFT JOIN o USING (doc_id)
 """
