@@ -240,8 +240,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def _by_shuffle(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """As decontaminate() returns it, for benchmarks of any size. Texts go by two 64-bit hashes; each distinct text is extended once per item."""
-    hashed = lambda df: df.withColumns({"text": F.coalesce("text", F.lit(""))}).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64("text", F.lit(1))})
+    """As decontaminate() returns it, for benchmarks of any size. Texts go by two 64-bit hashes (the
+    constant comes first: it seeds the text's hash); each distinct text is extended once per item."""
+    hashed = lambda df: df.withColumns({"text": F.coalesce("text", F.lit(""))}).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
     docs, items = hashed(rows), hashed(items).distinct()
     texts, item_texts = docs.select("h1", "h2", "text").dropDuplicates(["h1", "h2"]), items.select("h1", "h2", "text").dropDuplicates(["h1", "h2"])
     short = [r[0] for r in item_texts.select("text").mapInArrow(_count_words, "n_words long").filter(F.col("n_words").between(1, WINDOW - 1)).distinct().collect()]
