@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import bytewise as bw
-from tidemill.llm.store import bounded_batches
+from tidemill.llm.store import bounded_batches, cut
 
 TAPS, FILTERS, HALF = 6, 16, 256
 STEPS = HALF // 2
-#: Labelled rows that are learned from at most, half of each label where there are as many, and their longest text in bytes.
+#: Defaults of fit(): labelled rows that are learned from at most, half of each label, and their longest text in bytes.
 MAX_ROWS, MAX_BYTES = 3000, 1 << 15
 UPDATES, BATCH, RATE = 620, 48, 0.01
 THRESHOLD = 0.3
@@ -151,17 +151,18 @@ def training_rows(id_col: str) -> Column:
     return F.col(id_col).isNotNull() & (F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) != 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model | None:
-    """Learn from labelled training rows: max_rows at most, by a hash of doc_id, up to half of each label (documented
-    bound), with texts of MAX_BYTES at most; weights restore the labels' shares. None if no row has a label."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model | None:
+    """Learn from labelled training rows, of texts of max_bytes at most: max_rows of these, the first by a hash of doc_id,
+    up to half of each label; weights restore the labels' shares. Both bounds are on what is learned from, and on what
+    comes to the driver; scores are of whole texts of any length. None if no such row has a label."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text") <= max_bytes)
     known = labels.filter(training_rows(id_col) & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    fit_for = known.join(rows.select("doc_id"), "doc_id", "left_semi")  # before any are picked, so that none is missed
+    by = [F.xxhash64("doc_id", F.lit(5)), F.col("doc_id")]
+    picked = [fit_for.filter(F.col("label") == x).orderBy(*by).limit(max_rows // 2) for x in (0, 1)]
+    chosen = cut(picked[0].union(picked[1]), "labelled")  # max_rows rows at most
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if not totals:
-        return None
-    picked = [known.filter(F.col("label") == x).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(max_rows // 2) for x in sorted(totals)]
-    chosen = picked[0] if len(picked) == 1 else picked[0].union(picked[1])  # max_rows rows at most
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    got = rows.filter("text IS NOT NULL").filter(F.octet_length("text") <= MAX_BYTES).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(2 * max_rows).select("text", "label").toArrow()
+    got = rows.join(F.broadcast(chosen), "doc_id").orderBy(*by).limit(2 * max_rows).select("text", "label").toArrow()  # some doc_ids may repeat
     texts, label = got.column("text").to_pylist(), np.array(got.column("label").to_pylist(), float)
     if not texts:
         return None
