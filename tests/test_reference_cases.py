@@ -27,9 +27,9 @@ def test_normalize(spark):
 
 
 def test_static_sessions(spark):
-    rows = [("Thanos", at(s)) for s in (1, 2, 4, 8, 16)] + [("Groot", at(1 + s)) for s in (1, 3, 9)]
-    got = W.sessions(spark.createDataFrame(rows, "user string, ts timestamp_ntz"), ["user"], "ts", 5).collect()
-    assert sorted((r.user, r.n, (r.session_end - r.session_start).seconds) for r in got) == [("Groot", 1, 5), ("Groot", 2, 7), ("Thanos", 1, 5), ("Thanos", 4, 12)]
+    rows = [("north", at(s)) for s in (1, 2, 4, 8, 16)] + [("south", at(1 + s)) for s in (1, 3, 9)]
+    got = W.sessions(spark.createDataFrame(rows, "sensor string, ts timestamp_ntz"), ["sensor"], "ts", 5).collect()
+    assert sorted((r.sensor, r.n, (r.session_end - r.session_start).seconds) for r in got) == [("north", 1, 5), ("north", 4, 12), ("south", 1, 5), ("south", 2, 7)]
 
 
 def test_dynamic_sessions_and_touching_ends(spark):
@@ -134,9 +134,9 @@ def test_path_times_and_names(spark):
 
 
 def test_lookups(spark):
-    dim = spark.createDataFrame([("Luke", "C-"), ("Leia", "B+"), ("Yoda", "A+"), ("Yoda", "A+"), ("Chewbacca", "F")], "name string, grade string")
-    df = spark.createDataFrame([(n,) for n in ("Luke", "Leia", "Yoda", "Chewbacca", "Jar Jar")], "name string")
-    assert {r.name: r.grade for r in J.lookup(df, dim, "name", {"grade": ""}).collect()} == {"Luke": "C-", "Leia": "B+", "Yoda": "A+", "Chewbacca": "F", "Jar Jar": ""}
+    dim = spark.createDataFrame([("iron", "dull"), ("gold", "bright"), ("zinc", "pale"), ("zinc", "pale"), ("lead", "grey")], "metal string, look string")
+    df = spark.createDataFrame([(n,) for n in ("iron", "gold", "zinc", "lead", "ivory")], "metal string")
+    assert {r.metal: r.look for r in J.lookup(df, dim, "metal", {"look": ""}).collect()} == {"iron": "dull", "gold": "bright", "zinc": "pale", "lead": "grey", "ivory": ""}
     assert J.with_scalar(df, dim.limit(1)).count() == 5
 
 
@@ -153,10 +153,10 @@ def test_quoted_fields(spark):
 
 
 def test_top_distinct_takes_the_newest_score(spark):
-    rows = [("Bob", 9), ("Connor", 8), ("Eva", 1), ("Bacon", 10), ("Marta", 8), ("Bob", 11), ("Bacon", 7), ("Diane", 6)]
-    df = spark.createDataFrame([(n, s, i) for i, (n, s) in enumerate(rows)], "name string, score int, arrival int")
-    got = [(r.name, r.score) for r in A.top_distinct(df, "name", F.col("score"), F.col("arrival"), 4).collect()]
-    assert got == [("Bob", 11), ("Connor", 8), ("Marta", 8), ("Bacon", 7)]
+    rows = [("oak", 9), ("elm", 8), ("fir", 1), ("ash", 10), ("yew", 8), ("oak", 11), ("ash", 7), ("box", 6)]
+    df = spark.createDataFrame([(n, s, i) for i, (n, s) in enumerate(rows)], "tree string, score int, arrival int")
+    got = [(r.tree, r.score) for r in A.top_distinct(df, "tree", F.col("score"), F.col("arrival"), 4).collect()]
+    assert got == [("oak", 11), ("elm", 8), ("yew", 8), ("ash", 7)]
 
 
 def test_hashes(spark):

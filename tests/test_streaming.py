@@ -104,3 +104,15 @@ def test_polling_control_and_throttling(spark, tmp_path):
         assert run.stop(spark, "beats") and not run.stop(spark, "beats")
     got = run.throttled(spark.range(6).select(F.col("id").cast("string").alias("v")), lambda x: x + "!", "v", per_second=100, workers=2)
     assert sorted(r.result for r in got.collect()) == [f"{i}!" for i in range(6)]
+
+
+def test_window_panes_without_lateness_and_early_ones(spark, tmp_path):
+    rows = [{"key": "k", "ord": i, "value": float(i), "ts": str(T0 + dt.timedelta(seconds=s))} for i, s in enumerate((1, 2, 61, 3, 121, 62, 200))]
+    for i, r in enumerate(rows):
+        put(tmp_path / "in", f"{i}.json", [r])
+    stream = lambda: streams.records(spark, str(tmp_path / "in"), "key string, ord long, value double, ts timestamp", 1)
+    shown = lambda df: sorted(((r.window_end - T0).seconds, r.pane_index, r.timing, r.is_first, r.is_last, r.discarded, r.accumulated) for r in df.collect())
+    got = shown(collected(spark, state.window_panes(stream(), "ts", "1 minute", "0 seconds", early=False), tmp_path, tag="n"))
+    assert got == [(60, 0, "ON_TIME", True, True, 1.0, 1.0), (120, 0, "ON_TIME", True, True, 2.0, 2.0), (180, 0, "ON_TIME", True, True, 4.0, 4.0)]
+    got = shown(collected(spark, state.window_panes(stream(), "ts", "1 minute", "2 minutes"), tmp_path, tag="l"))
+    assert [g for g in got if g[0] == 60] == [(60, 0, "EARLY", True, False, 0.0, 0.0), (60, 1, "EARLY", False, False, 1.0, 1.0), (60, 2, "ON_TIME", False, False, 0.0, 1.0), (60, 3, "LATE", False, False, 3.0, 4.0)]
