@@ -7,7 +7,7 @@ import pytest
 
 from tests.llm import cases
 from tidemill.llm import bytewise as bw
-from tidemill.llm import exact_dedup, near_dedup, substrings
+from tidemill.llm import components, exact_dedup, near_dedup, substrings
 from tidemill.llm.components import connected_components
 from tidemill.llm.shards import runs
 
@@ -34,9 +34,10 @@ def expected_components(rows):
     return sorted((i, len(s), None if i is None else find(up, i)) for i, s in sets if i is not None), [len(s) for i, s in sets if i is None]
 
 
-@pytest.mark.parametrize(("block", "most"), [(None, 16), (8, 16), (8, 1)])
-def test_near_duplicates_match_brute_force(spark, monkeypatch, block, most):
+@pytest.mark.parametrize(("block", "most", "sets"), [(None, 16, 2), (8, 16, 100), (8, 1, 1)])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, block, most, sets):
     monkeypatch.setattr(near_dedup, "MOST_BLOCKS", most)
+    monkeypatch.setattr(near_dedup, "MOST_SET_BLOCKS", sets)
     if block:  # many blocks of few
         monkeypatch.setattr(near_dedup, "BLOCK_DOCS", block)
         monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 900)
@@ -51,6 +52,23 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, block, most):
 
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(cases.empty(spark)).count() == 0
+    with pytest.raises(ValueError, match="percent"):
+        near_dedup.near_duplicates(cases.empty(spark), percent=50)
+
+
+def test_clusters_whose_hub_connects_little(spark, monkeypatch):
+    """Two families that chains of copies tie together: most of a cluster are strays, of which some are linked."""
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(near_dedup, "MOST_SET_BLOCKS", 0)
+    words = cases.prose(51, 160).split()
+    chain = []
+    for i in range(30):  # each a few words from the one before, the last nothing like the first
+        words[5 * i : 5 * i + 4] = [f"x{i}{k}" for k in range(4)]
+        chain.append(" ".join(words))
+    rows = [(i, t) for i, t in enumerate(chain + chain[::7] + cases.near_copies(52, 20))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want, _ = expected_components(rows)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want and len({c for *_, c in want}) < 20
 
 
 def test_signatures_within_the_distance_share_a_key(spark):
@@ -66,7 +84,9 @@ def test_signatures_within_the_distance_share_a_key(spark):
     assert shared.filter("ok").count() == 200
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("few", [components.SMALL, 0])
+def test_components_of_a_long_chain(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "SMALL", few)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 90), (90, 100), (7, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {90: 90, 100: 90}

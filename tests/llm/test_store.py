@@ -1,14 +1,11 @@
 import os
-from types import SimpleNamespace
 
-from tidemill.llm.store import new_path as scratch
+from tidemill.llm.store import cut, drop
 
 
-def session(folder, app="app"):
-    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(applicationId=app))
-
-
-def test_the_named_folder_or_one_of_our_own():
-    assert os.path.dirname(scratch(session("file:///shared/"), "x")) == "file:///shared"
-    one, two, other = (scratch(session(None, a), "x") for a in ("a", "a", "b"))
-    assert one != two and os.path.dirname(one) == os.path.dirname(two) != os.path.dirname(other) and os.path.isdir(os.path.dirname(one))
+def test_tables_are_written_and_dropped(spark):
+    found = cut(spark.range(5), "five")
+    path = found._cut_path
+    assert found.count() == 5 and path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    drop(found)
+    assert not os.path.exists(path)

@@ -6,33 +6,37 @@ probability of about 1.5e-5. By pigeonhole two signatures at most 31 apart have
 slot; a key for each chunk and each slot left out therefore meets every such pair, whatever the data.
 
 Keys that hold the same documents are processed once. Inside a key, signatures are compared in numpy with all others
-of the key, and only edges that join what is not joined yet leave it; in a key beyond a size, only what is not
-connected with the key's hub, by this key or any other, is compared with all. Connected documents form a cluster, whose
-shingle sets are compared exactly, again with only joining links kept. Large keys and clusters are cut into blocks, and
-each pair of blocks is a task of its own: no group meets in one task, no pair is dropped.
+of the key, and only edges that join what is not joined yet leave it. Connected documents form a cluster, whose shingle
+sets are compared exactly, again with only joining links kept. Keys and clusters are cut into blocks, and each pair of
+blocks is a task of its own: no group meets in one task, no pair is dropped. In a key or cluster beyond a size each
+member is first compared with its hub, and only the strays, which are not connected with it so far, with all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import bytewise as bw
 from tidemill.llm.components import connected_components
 from tidemill.llm.shards import block_pairs, runs
-from tidemill.llm.store import bounded_batches, cut, width
+from tidemill.llm.store import bounded_batches, cut, drop, width
 
 SLOTS, PER_CHUNK, BITS = 64, 4, 16
 CHUNKS = SLOTS // PER_CHUNK
 MAX_DISTANCE = 2 * CHUNKS - 1
 SHINGLE = 5
-#: Documents of one key, and shingles of one cluster, that a block holds on average; blocks of a key whose pairs are all
-#: compared. In a larger key, most of which its hub connects, only strays are.
-BLOCK_DOCS, BLOCK_SHINGLES, MOST_BLOCKS = 1024, 1 << 17, 16
+#: Documents of one key, and shingles of one cluster, that a block holds on average; blocks of a key, and of a cluster,
+#: whose pairs are all compared. In a larger one, most of which its hub connects, only strays are.
+BLOCK_DOCS, BLOCK_SHINGLES, MOST_BLOCKS, MOST_SET_BLOCKS = 1024, 1 << 17, 16, 2
+#: The least similarity, in per cent, for which signatures within MAX_DISTANCE hold nearly every pair.
+LEAST_PERCENT = 75
 
 _rng = np.random.default_rng(7)
 _MUL = (_rng.integers(0, 2**32, (2, SLOTS), dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -179,56 +183,130 @@ def _to_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(near), b.column("hub").filter(near)], ["a", "b"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each run, edges from its strays to any of its rows, between what has different labels and isn't joined yet."""
-    for t, starts in runs(batches, 3):
-        doc, label, stray, sig = _column(t, "doc_id"), _column(t, "label"), _column(t, "stray"), _sigs(t)
-        a, b = [], []
-        for lo, hi in zip(starts, [*starts[1:], t.num_rows], strict=True):
-            _, group = np.unique(label[lo:hi], return_inverse=True)
-            first = np.zeros(int(group.max()) + 1, np.int64)
-            first[group[::-1]] = np.arange(hi - lo)[::-1]
-            joined = _Joined(hi - lo)
-            joined.up = first[group]  # those of a label are joined
-            others = np.flatnonzero(~stray[lo:hi])
-            for x in np.flatnonzero(stray[lo:hi]).tolist():
-                top = joined.flatten()
-                y = others[top[others] != top[x]]
-                for z in y[_distance(sig[lo + y], np.broadcast_to(sig[lo + x], (len(y), CHUNKS))) <= MAX_DISTANCE].tolist():
-                    if joined.join(x, z):
-                        a.append(doc[lo + x])
-                        b.append(doc[lo + z])
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+class _Signatures:
+    """Signatures of rows, for _across()."""
 
+    def __init__(self, t: pa.Table):
+        self.sig = _sigs(t)
 
-def _large_keys(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges that join the members (key, doc_id, hub, sig) of large keys, beyond the edges of small ones.
+    def near(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Those of others that are near x."""
+        return others[_distance(self.sig[others], np.broadcast_to(self.sig[x], (len(others), CHUNKS))) <= MAX_DISTANCE]
+
+
+class _Sets(_Signatures):
+    """Shingle sets of rows, their hashes numbered."""
+
+    def __init__(self, t: pa.Table, percent: int):
+        super().__init__(t)
+        sets = t.column("shingles").combine_chunks()
+        self.percent, self.size = percent, np.diff(sets.offsets.to_numpy()).astype(np.int64)
+        _, self.ids = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        self.at = np.cumsum(self.size) - self.size
+        self.has = np.zeros(int(self.ids.max()) + 1, bool)
 
-    Each member is first compared with its key's hub. Connected with all edges so far, most members of a group of near
-    copies are then in their hub's component, by this key or another; only the others, the strays, are compared with
-    all members of their key, block by block. A key without strays is done.
+    def near(self, x: int, others: np.ndarray) -> np.ndarray:
+        size = self.size
+        big, small = np.maximum(size[others], size[x]), np.minimum(size[others], size[x])
+        others = super().near(x, others[100 * small >= self.percent * big])
+        if not len(others):
+            return others
+        mine = self.ids[self.at[x] : self.at[x] + size[x]]
+        self.has[mine] = True
+        both = np.add.reduceat(self.has[self.ids[bw.ranges(self.at[others], size[others])]].astype(np.int64), np.cumsum(size[others]) - size[others])
+        self.has[mine] = False
+        return others[100 * both >= self.percent * (size[others] + size[x] - both)]
+
+
+def _across(prepare: Callable, target: int, weigh: Callable | None = None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each run, edges from its strays to any of its rows, between what has different labels and isn't joined yet."""
+        for t, starts in runs(batches, 3, target, weigh):
+            a, b = [], []
+            for lo, hi in zip(starts, [*starts[1:], t.num_rows], strict=True):
+                own = t.slice(lo, hi - lo)
+                stray = np.flatnonzero(_column(own, "stray"))
+                others = np.flatnonzero(~_column(own, "stray"))
+                if not len(stray) or not len(others):
+                    continue
+                doc, compared = _column(own, "doc_id"), prepare(own)
+                _, group = np.unique(_column(own, "label"), return_inverse=True)
+                first = np.zeros(int(group.max()) + 1, np.int64)
+                first[group[::-1]] = np.arange(hi - lo)[::-1]
+                joined = _Joined(hi - lo)
+                joined.up = first[group]  # those of a label are joined
+                for x in stray.tolist():
+                    top = joined.flatten()
+                    for z in compared.near(x, others[top[others] != top[x]]).tolist():
+                        if joined.join(x, z):
+                            a.append(doc[x])
+                            b.append(doc[z])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _hub_first(members: DataFrame, payload: list[str], size: Column, block: int, to_hub: Callable, across: Callable, edges: DataFrame | None = None) -> DataFrame:
+    """Edges that join the members (key, doc_id, hub, payload; a written table's) of large groups, beyond the edges given.
+
+    Each member is first compared with its group's hub. Connected with all edges so far, most members of a group of near
+    copies are then in their hub's component, by this group or another; only the others, the strays, are compared with
+    all members of their group, block by block. A group without strays is done, and its payload never shuffled.
     """
-    members = cut(members, "large-keys")
-    hubs = members.filter("doc_id = hub").select("key", F.col("sig").alias("hub_sig"))
-    star = members.join(hubs, "key").select("doc_id", "hub", "sig", "hub_sig").mapInArrow(_to_hub, "a long, b long")
-    edges = cut(edges.union(star), "star-edges")
+    hubs = cut(members.filter("doc_id = hub").dropDuplicates(["key"]).select("key", *[F.col(c).alias(f"hub_{c}") for c in payload]), "hubs")
+    star = members.join(hubs, "key").select("doc_id", "hub", *payload, *[f"hub_{c}" for c in payload]).mapInArrow(to_hub, "a long, b long")
+    edges = cut(star if edges is None else edges.union(star), "star-edges")
     labels = cut(connected_components(edges), "labels")
     of = lambda c, name: labels.select(F.col("node").alias(c), F.col("component").alias(name))
-    labelled = members.join(of("doc_id", "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).join(of("hub", "hub_label"), "hub", "left").withColumn("is_stray", F.col("label") != F.coalesce("hub_label", "hub"))
-    labelled = cut(labelled.select("key", "doc_id", "sig", "label", "is_stray"), "labelled")
-    count = lambda c: F.ceil(F.sum(c) / BLOCK_DOCS)
-    open_ = labelled.groupBy("key").agg(count(F.lit(1)).alias("n_j"), count(F.col("is_stray").cast("int")).alias("n_i")).filter("n_i > 0")
-    rows = labelled.join(open_, "key")
+    slim = members.select("key", "doc_id", "hub", size.alias("size"))
+    labelled = slim.join(of("doc_id", "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).join(of("hub", "hub_label"), "hub", "left").withColumn("is_stray", F.col("label") != F.coalesce("hub_label", "hub"))
+    labelled = cut(labelled.select("key", "doc_id", "label", "is_stray", "size"), "labelled")
+    drop(hubs, labels)
+    count = lambda c: F.ceil(F.sum(c) / block)
+    open_ = cut(labelled.groupBy("key").agg(count("size").alias("n_j"), count(F.when(F.col("is_stray"), F.col("size")).otherwise(0)).alias("n_i")).filter("n_i > 0"), "open-groups")
+    if open_.isEmpty():
+        return edges
+    rows = members.select("key", "doc_id", *payload).join(labelled.drop("size").join(open_, "key").distinct(), ["key", "doc_id"])
     deal = lambda own, other: (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col(own)), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
     (i, js), (j, is_) = deal("n_i", "n_j"), deal("n_j", "n_i")
-    keep = ["doc_id", "label", "sig"]
+    keep = ["doc_id", "label", *payload]
     strays = rows.filter("is_stray").select("key", i.alias("i"), js.alias("j"), *keep, F.lit(True).alias("stray"))
     dealt = strays.unionByName(rows.select("key", is_.alias("i"), j.alias("j"), *keep, F.lit(False).alias("stray")))
-    found = dealt.repartition(width(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across, "a long, b long")
+    found = dealt.repartition(width(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(across, "a long, b long")
     return edges.union(found)
 
 
+def _large_keys(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges that join the members (key, doc_id, hub, sig) of large keys, beyond the edges of small ones."""
+    return _hub_first(cut(members, "large-keys"), ["sig"], F.lit(1), BLOCK_DOCS, _to_hub, _across(_Signatures, 1 << 15), edges)
+
+
+def _set_to_hub(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges of rows (doc_id, hub, shingles, hub_shingles) of sets of Jaccard similarity percent / 100."""
+        for b in batches:
+            own, hub, sets = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "hub", "hub_shingles"))
+            lists = b.column("shingles")
+            flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            at = np.cumsum(size) - size
+            near = np.zeros(b.num_rows, bool)
+            for h in np.unique(hub).tolist():
+                rows = np.flatnonzero(hub == h)
+                one = np.sort(sets[rows[0]])
+                mine = flat[bw.ranges(at[rows], size[rows])]
+                both = np.add.reduceat((one[np.minimum(np.searchsorted(one, mine), len(one) - 1)] == mine).astype(np.int64), np.cumsum(size[rows]) - size[rows])
+                near[rows] = (100 * both >= percent * (size[rows] + len(one) - both)) & (own[rows] != h)
+            mask = pa.array(near)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(mask), b.column("hub").filter(mask)], ["a", "b"])
+
+    return run
+
+
+def _shingle_counts(t: pa.Table) -> np.ndarray:
+    return pc.list_value_length(t.column("shingles")).to_numpy().astype(np.int64)
+
+
 def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with their text's shingles in place of the text; texts other than the digested one, of a repeated doc_id, go."""
     for b in batches:
@@ -244,31 +322,17 @@ def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirm(percent: int):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each run of a cluster's rows, links that span the graph of sets of Jaccard similarity percent / 100."""
-        for t, starts in runs(batches, 3, 1 << 10):
+        for t, starts in runs(batches, 3, 2 * BLOCK_SHINGLES, _shingle_counts):
             for lo, hi in zip(starts, [*starts[1:], t.num_rows], strict=True):
                 if hi - lo < 2:
                     continue
                 own = t.slice(lo, hi - lo)
-                doc, sig, block = _column(own, "doc_id"), _sigs(own), _column(own, "block")
+                doc, block, sets = _column(own, "doc_id"), _column(own, "block"), _Sets(own, percent)
                 two_blocks = own.column("i")[0].as_py() != own.column("j")[0].as_py()
-                sets = own.column("shingles").combine_chunks()
-                size = np.diff(sets.offsets.to_numpy()).astype(np.int64)
-                _, ids = np.unique(sets.flatten().to_numpy(), return_inverse=True)
-                at = np.cumsum(size) - size
-                has = np.zeros(int(ids.max()) + 1, bool)
                 joined, a, b = _Joined(hi - lo), [], []
-                for x in np.argsort(-size, kind="stable").tolist():
+                for x in np.argsort(-sets.size, kind="stable").tolist():
                     top = joined.flatten()
-                    big, small = np.maximum(size, size[x]), np.minimum(size, size[x])
-                    other = np.flatnonzero((top != top[x]) & (100 * small >= percent * big) & ((block != block[x]) if two_blocks else True))
-                    other = other[_distance(sig[other], np.broadcast_to(sig[x], (len(other), CHUNKS))) <= MAX_DISTANCE]
-                    if not len(other):
-                        continue
-                    mine = ids[at[x] : at[x] + size[x]]
-                    has[mine] = True
-                    both = np.add.reduceat(has[ids[bw.ranges(at[other], size[other])]].astype(np.int64), np.cumsum(size[other]) - size[other])
-                    has[mine] = False
-                    for y in other[100 * both >= percent * (size[other] + size[x] - both)].tolist():
+                    for y in sets.near(x, np.flatnonzero((top != top[x]) & ((block != block[x]) if two_blocks else True))).tolist():
                         if joined.join(x, y):
                             a.append(doc[x])
                             b.append(doc[y])
@@ -290,6 +354,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null doc_id is linked with nothing: its component_id is null and it is kept. Other columns, whatever their names,
     aren't read. An empty table gives no rows.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent {percent}: signatures are made for {LEAST_PERCENT} to 100")
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -316,13 +382,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the sets of clustered documents, once more from their texts
     inside = clusters.join(nodes.select(F.col("lo").alias("node"), "sig", "d1", "d2", "n_shingles"), "node")
     sized = clusters.join(nodes.select(F.col("lo").alias("node"), "n_shingles"), "node").groupBy("component").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("blocks"))
+    sized = cut(sized, "cluster-sizes")
     inside = inside.join(sized, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks", "sig", "d1", "d2", "n_shingles")
+
     texts = inside.join(rows, "doc_id").select("doc_id", "cluster", "blocks", "sig", *same, "text")
     sets = texts.mapInArrow(_own_sets, "doc_id long, cluster long, blocks long, sig array<long>, shingles array<long>")
-    dealt = block_pairs(sets, "blocks", ["cluster"], "doc_id").select("cluster", "i", "j", "doc_id", "block", "sig", "shingles")
+    is_large = F.col("blocks") > MOST_SET_BLOCKS
+    large_clusters = not sized.filter(is_large).isEmpty()
+    if large_clusters:
+        sets = cut(sets, "sets")
+    dealt = block_pairs(sets.filter(~is_large), "blocks", ["cluster"], "doc_id").select("cluster", "i", "j", "doc_id", "block", "sig", "shingles")
     links = dealt.mapInArrow(_confirm(percent), "a long, b long")
+    if large_clusters:
+        members = sets.filter(is_large).select(F.col("cluster").alias("key"), "doc_id", F.col("cluster").alias("hub"), "sig", "shingles")
+        links = links.union(_hub_first(members, ["sig", "shingles"], F.size("shingles"), BLOCK_SHINGLES, _set_to_hub(percent), _across(functools.partial(_Sets, percent=percent), 2 * BLOCK_SHINGLES, _shingle_counts)))
     twins = known.join(nodes.filter("n > 1").select(*same, "lo"), same).select(F.col("doc_id").alias("a"), F.col("lo").alias("b"))
     found = connected_components(links.union(twins))
+    drop(nodes, held, clusters, sized)
     return (
         signed.select("doc_id", "n_shingles")
         .join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")

@@ -2,42 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tidemill.scratch import remove
+from tidemill.scratch import scratch as new_path
+
 #: Bytes of one Arrow batch sent to Python (a row more, at most); bounds a worker's memory with long texts.
 BATCH_BYTES = 4 << 20
 
 
-#: Of applications whose session names no folder, as in tests on one machine.
-_own_folders: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one of this machine where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        if app not in _own_folders:
-            _own_folders[app] = tempfile.mkdtemp(prefix="tidemill-")
-        found = _own_folders[app]
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: its lineage ends there, and lost executors
     cost no more than the tasks that they ran."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._cut_path = path
+    return found
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and that nothing will read again."""
+    for t in tables:
+        remove(t.sparkSession, t._cut_path)
 
 
 def bounded_batches(spark: SparkSession) -> None:
