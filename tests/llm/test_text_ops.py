@@ -59,6 +59,23 @@ def test_licenses_match_brute_force(spark):
     assert licenses.scan_licenses(cases.empty(spark)).count() == 0
 
 
+def test_licenses_that_resemble_each_other(spark):
+    notice = {label: text for text, label in licenses.PASSAGES.items()}
+    texts = [notice["gpl"], notice["lgpl"], notice["gpl"] + " and " + notice["lgpl"], " ".join(["x", notice["lgpl"], "y"] * 40), notice["gpl"][:-15]]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(5)] == ["gpl", "lgpl", "gpl,lgpl", "lgpl", "gpl"]
+    assert len(got[3].places) == 40 and all(got[i].score == 1 for i in range(4))
+
+
+def test_a_text_has_two_hashes_of_its_own(spark):
+    """The second begins with a seed of its own, and isn't a hash of the first."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(f"text {i}",) for i in range(50)], "t string").select("t", *licenses.text_key("t"))
+    got = df.select("h1", "h2", F.xxhash64("t").alias("own"), F.xxhash64("t", F.lit(1)).alias("chained"), F.xxhash64(F.lit(1), "t").alias("seeded")).collect()
+    assert all(r.h1 == r.own and r.h2 == r.seeded != r.chained for r in got) and len({r.h2 for r in got}) == 50
+
+
 def test_language_of_held_out_and_mixed_texts(spark):
     english = "the quick brown fox jumps over lazy dogs and then they were with that thing which would have been there"
     german = "der schnelle braune fuchs springt nicht über die faulen hunde und dann wurden sie mit diesem ding gewesen"
@@ -127,6 +144,74 @@ def test_symbols_alone_are_of_no_language(spark):
     assert got[4].score == 0 and got[5].lang_pred == "en"
 
 
+def plain_languages(rows, penalty=12.0, share=0.01, bits=16):
+    """doc_id: (lang_pred, score), by loops over words and languages."""
+    import re
+    import zlib
+
+    leads = {**dict.fromkeys([*range(0x61, 0x7B), *range(0xC3, 0xCA)], "latin"), **dict.fromkeys([*range(0xCA, 0xCD), 0xE1], "other"), **dict.fromkeys(range(0xCD, 0xD0), "greek"), **dict.fromkeys(range(0xD0, 0xD4), "cyrillic"), 0xE0: "indic", **dict.fromkeys(range(0xE3, 0xEA), "kana_han")}
+
+    def words(text):
+        return [w for w in re.findall(rb"[a-z\x80-\xff]+", cases.lower(text).encode())]
+
+    def cells(w):
+        padded = b" " + w + b" "
+        return [((padded[i] * 0x10001 + padded[i + 1] * 0x101 * 7 + padded[i + 2]) * 0x9E3779B1 % 2**32) >> (32 - bits) for i in range(len(w))]
+
+    counts, scripts = {}, {}
+    for i, text, lang in rows:
+        if i is not None and zlib.crc32(str(i).encode()) % 4 != 2 and lang is not None and text is not None:
+            own, kinds = counts.setdefault(lang, {}), scripts.setdefault(lang, {})
+            for w in words(text):
+                kinds[leads.get(w[0], "common")] = kinds.get(leads.get(w[0], "common"), 0) + 1
+                for c in cells(w):
+                    own[c] = own.get(c, 0) + 1
+    langs, seen = sorted(counts), len({c for own in counts.values() for c in own})
+    total = {x: math.log(sum(counts[x].values()) + seen) for x in langs}
+    written = {x: {k for k, n in scripts[x].items() if n >= share * sum(scripts[x].values())} for x in langs}
+    out = {}
+    for i, text, _ in rows:
+        best, known, sizes = [], [], []
+        for w in words(text or ""):
+            may = [x for x in langs if leads.get(w[0], "common") in written[x]]
+            value = {x: (sum(math.log(counts[x].get(c, 0) + 1) - total[x] for c in cells(w)) if x in may else -1e6 if may else 0.0) for x in langs}
+            last = best[-1][0] if best else None
+            step, back = {}, {}
+            for x in langs:
+                top = max(langs, key=lambda y: last[y]) if last else x  # noqa: B023
+                back[x] = top if last and last[top] - penalty > last[x] else x
+                step[x] = value[x] + (0 if not last else last[back[x]] - penalty * (back[x] != x))
+            best.append((step, back))
+            known.append(bool(may))
+            sizes.append(len(w) if any(ch.isalpha() for ch in w.decode()) else 0)
+        if not any(ch.isalpha() for ch in text or "") or not best:
+            out[i] = ("und", 0.0)
+            continue
+        x, weight = max(langs, key=lambda y: best[-1][0][y]), dict.fromkeys(langs, 0)
+        for (_, back), ok, n in zip(reversed(best), reversed(known), reversed(sizes), strict=True):
+            weight[x] += n * ok
+            x = back[x]
+        pred = max(langs, key=lambda y: weight[y])
+        out[i] = (pred, weight[pred] / max(1, sum(sizes)))
+    return out
+
+
+def test_languages_match_plain_loops(spark):
+    import random
+
+    r = random.Random(12)
+    pools = {"en": "the quick brown fox jumps over lazy dogs and then they were with that — “thing”", "fr": "le été çà où élève naïve renard brun saute par-dessus les chiens – paresseux et puis", "ru": "быстрая лиса прыгает через ленивую собаку и потом они были там", "ja": "速い茶色の 狐は 怠け者の 犬を 飛び越える 。 、"}
+    some = lambda lang, n: " ".join(r.choice(pools[lang].split()) for _ in range(n))
+    rows = [(i, some(lang, 25), lang if i % 9 else None) for i, lang in enumerate(sorted(pools) * 20)]
+    rows += [(200 + i, " ".join(some(r.choice(sorted(pools)), r.randint(1, 12)) for _ in range(3)), None) for i in range(40)]
+    rows += [(300 + i, t, "en") for i, t in enumerate([None, "", "— … ”", "×", "÷ x", "😀 —", "12 34", "。、", "the", "ßß ǅ", "Ἀ ἄ"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: (x.lang_pred, x.score) for x in langid.identify(docs, langid.fit(docs), spans=False).collect()}
+    want = plain_languages(rows)
+    assert {i: x for i, (x, _) in got.items()} == {i: x for i, (x, _) in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) < 1e-9 for i in want)
+
+
 def test_viterbi_matches_all_paths():
     import itertools
 
@@ -158,6 +243,18 @@ def test_quality_learns_and_takes_any_text(spark):
     assert quality.score_quality(cases.empty(spark), model).count() == 0
 
 
+def test_quality_learns_from_as_many_rows_as_are_short_enough(spark, monkeypatch):
+    """Long labelled texts are left out before rows are picked; scores are of long ones too, to their end."""
+    docs = spark.createDataFrame([(i, cases.prose(i, 20 if i % 3 else 400)) for i in range(90)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "learn", lambda texts, label, weights: seen.append((texts, label.tolist())))
+    quality.fit(docs, labels, max_rows=20, max_bytes=400)
+    quality.fit(docs, labels, max_rows=20, max_bytes=1 << 20)
+    assert [len(texts) for texts, _ in seen] == [20, 20] and [label.count(1) for _, label in seen] == [10, 10]
+    assert max(map(len, seen[0][0])) <= 400 < max(map(len, seen[1][0]))
+
+
 def test_quality_scores_the_whole_text_by_direct_convolution():
     import numpy as np
     import pyarrow as pa
@@ -175,6 +272,35 @@ def test_quality_scores_the_whole_text_by_direct_convolution():
         assert abs(quality.scores(pa.array([text]), m)[0] - 1 / (1 + np.exp(-np.clip(z, -40, 40)))) < 1e-4
 
 
+def test_topics_are_clusters_of_words(spark):
+    """Profiles by a plain hash, and texts of two vocabularies, in two languages each, that come out as topics."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemill.llm import topics
+
+    def bucket(word):
+        h = sum((b + 1) * topics.BASE**i for i, b in enumerate(word)) % 2**32
+        return h * topics.MULTIPLE % 2**32 >> 28
+
+    texts = [r[1] for r in cases.rows()]
+    count, share = topics.profiles_of(pa.array(texts))
+    for text, n, got in zip(texts, count, share, strict=True):
+        words = cases.lower(text or "").encode().split()
+        words = [w for w in words if w]
+        assert n == len(words) and np.allclose(got, np.bincount([bucket(w) for w in words], minlength=16) / max(1, n))
+    r = random.Random(3)
+    pool = {(lang, t): [w for w in cases.prose(t, 3000, 900).split() if bucket(w.encode()) % 2 == t and (len(w) % 2 == 0) == (lang == "a")] for lang in "ab" for t in (0, 1)}
+    rows = [(i, " ".join(r.choice(pool[lang, t]) for _ in range(60)), lang, f"s{t}") for i, (lang, t) in enumerate(sorted(pool) * 50)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    by = {}
+    for x in got:
+        by.setdefault(x.topic, set()).add(x.source)
+    assert 2 <= len(by) <= topics.TOPICS and all(len(s) == 1 for s in by.values())
+
+
 def test_mixing_meets_its_targets(spark):
     rows = [(i, "w " * (5 + i % 13), ["en", "de"][i % 2], ["a", "b", "c"][i % 3]) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")

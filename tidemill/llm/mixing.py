@@ -2,19 +2,19 @@
 
 Tokens are summed by cell, a combination of the categories of all dimensions. A sweep scales the cells' weights, one
 dimension after the other, so that weighted tokens have that dimension's target shares. A document's probability is
-its cell's weight over the largest weight; a hash of its doc_id decides.
+its cell's weight over the largest weight; a hash of its doc_id decides. Topics, where no column gives them, are learned:
+see topics.py.
 """
 
 from __future__ import annotations
 
-import string
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.columns import NOT_SPACE
-from tidemill.llm.store import cut
+from tidemill.llm import topics
+from tidemill.llm.store import bounded_batches, cut
 
 SWEEPS = 10
 #: Without given targets, a category's share is its share of tokens to this power, normalised.
@@ -24,18 +24,6 @@ MAX_CELLS = 100_000
 UNKNOWN = "unknown"
 
 
-def form_of(text: Column) -> Column:
-    """The default topic: what a text looks like."""
-    n = F.length(text)
-    capitals = n - F.length(F.translate(text, string.ascii_uppercase, ""))
-    signs = n - F.length(F.translate(text, "*#%&$|", ""))
-    return F.when(n == 0, "empty").when(capitals * 10 > n * 3, "capitals").when(signs * 50 > n, "signs").when(n < 500, "short").when(n < 5000, "medium").otherwise("long")
-
-
-def token_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(NOT_SPACE)).cast("long")
-
-
 def uniform(key: Column) -> Column:
     """A number from 0 to 1, exclusive, by a hash of key's text; null counts as empty."""
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
@@ -87,26 +75,37 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | None] | Non
     """doc_id, source, lang, topic, n_tokens, weight, probability, kept and, if keep_row, row (docs' own columns).
 
     Tokens are runs without ASCII white space. targets maps source, lang and topic to shares of tokens by category (those
-    left out have 0); without an entry, shares come from the corpus by temperature. Null categories are "unknown"; null
-    and empty texts have no tokens and the topic "empty"; they take the largest weight's probability 1 where their
-    cell has no tokens at all, as they change no share. A null doc_id is hashed as an empty text; rows that repeat a
-    doc_id are kept or left together if in one cell. An empty table gives no rows.
+    left out have 0); without an entry, shares come from the corpus by temperature. topic is a column of docs, or else
+    learned from all of them. Null categories are "unknown"; null and empty texts have no tokens and, if learned, the
+    topic "none"; they take the largest weight's probability 1 where their cell has no tokens at all, as they change no
+    share. A null doc_id is hashed as an empty text; rows that repeat a doc_id are kept or left together if in one cell.
+    An empty table gives no rows.
     """
-    text = F.coalesce(F.col("text_"), F.lit(""))
+    spark = docs.sparkSession
+    bounded_batches(spark)
     picked = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text_"), F.coalesce(F.col(source_col).cast("string"), F.lit(UNKNOWN)).alias("source"), F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang")]
     if keep_row:
         picked.append(F.struct("*").alias("row"))
     if topic is not None:
         picked.append(F.coalesce(topic.cast("string"), F.lit(UNKNOWN)).alias("topic"))
-    rows = docs.select(*picked).withColumn("n_tokens", token_count(text))
-    if topic is None:
-        rows = rows.withColumn("topic", form_of(text))
+    texts = docs.select(*picked)
     dims = ["source", "lang", "topic"]
-    cells = cut(rows.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    # a row of numbers for each text: topics and cells come from these alone
+    seen = cut(topics.profiled(texts.drop("doc_id", "row"), "text_"), "profiles")
+    rows = topics.profiled(texts, "text_")
+    if topic is None:
+        means = cut(topics.means_of(seen, "lang"), "means")
+        small = means.limit(max_cells + 1).count() <= max_cells
+        beside = lambda df: df.join(F.broadcast(means) if small else means, "lang", "left")
+        centres = topics.learn(beside(seen))
+        seen, rows = (topics.assigned(beside(df), centres) for df in (seen, rows))
+    else:
+        seen, rows = seen.drop("profile"), rows.drop("profile")
+    cells = cut(seen.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")), "cells")
     weights = cut(rake(cells, dims, targets, temperature, sweeps, max_cells), "weights")
     most = weights.agg(F.max("weight")).first()[0] or 1.0
     small = weights.limit(max_cells + 1).count() <= max_cells
-    found = rows.drop("text_").join(F.broadcast(weights) if small else weights, dims, "left")  # beyond max_cells a shuffle, whose skewed cells Spark splits
+    found = rows.join(F.broadcast(weights) if small else weights, dims, "left")  # beyond max_cells a shuffle, whose skewed cells Spark splits
     probability = F.when(F.col("tokens") > 0, F.col("weight") / F.lit(most)).otherwise(F.lit(1.0))
     columns = ["doc_id", *dims, "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), probability.alias("probability"), (uniform(F.col("doc_id")) < probability).alias("kept")]
     return found.select(*columns, *["row"] * keep_row)
@@ -115,10 +114,9 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | None] | Non
 def mixing_sql(sweeps: int = SWEEPS, temperature: float = TEMPERATURE) -> str:
     """DuckDB SQL for mix() with default targets and topics, weights and probabilities rounded to 6 decimals."""
     dims = ["source", "lang", "topic"]
-    upper, signs = string.ascii_uppercase, "*#%&$|"
     parts = [
-        f"t AS (SELECT doc_id, coalesce(source, '{UNKNOWN}') AS source, coalesce(lang, '{UNKNOWN}') AS lang, coalesce(text, '') AS x FROM documents)",
-        f"d AS (SELECT doc_id, source, lang, CASE WHEN length(x) = 0 THEN 'empty' WHEN (length(x) - length(translate(x, '{upper}', ''))) * 10 > length(x) * 3 THEN 'capitals' WHEN (length(x) - length(translate(x, '{signs}', ''))) * 50 > length(x) THEN 'signs' WHEN length(x) < 500 THEN 'short' WHEN length(x) < 5000 THEN 'medium' ELSE 'long' END AS topic, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM t)",
+        f"t AS MATERIALIZED (SELECT row_number() OVER () AS rowid_, doc_id, coalesce(source, '{UNKNOWN}') AS source, coalesce(lang, '{UNKNOWN}') AS lang, coalesce(text, '') AS x FROM documents)",
+        *topics.topics_sql(),
         "c0 AS (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens, 1.0::DOUBLE AS w FROM d GROUP BY ALL)",
     ]
     for d in dims:
