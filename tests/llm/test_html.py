@@ -44,7 +44,7 @@ def test_decoding_finds_the_best_consistent_labels():
                 if (a, b) not in ((0, 0), (0, 1), (1, 1), (1, 2), (2, 2)):
                     return -1e9
                 length = sum(len(x) for j, x in t.pieces if j == i)
-                total += (b == 1) * odds[i] * (0.3 + length / 100) - ((a, b) == (0, 1)) * html_extract.ENTER - ((a, b) == (1, 2)) * html_extract.LEAVE  # noqa: B023
+                total += (b == 1) * odds[i] * (html_extract.LEAST + length / 100) - ((a, b) == (0, 1)) * html_extract.ENTER - ((a, b) == (1, 2)) * html_extract.LEAVE  # noqa: B023
             return total
 
         every = [(0, *x) for x in itertools.product(range(3), repeat=len(t.tag) - 1)]
