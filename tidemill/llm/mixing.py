@@ -92,15 +92,18 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | None] | Non
     dims = ["source", "lang", "topic"]
     # a row of numbers for each text: topics and cells come from these alone
     seen = cut(topics.profiled(texts.drop("doc_id", "row"), "text_"), "profiles")
-    rows = topics.profiled(texts, "text_")
     if topic is None:
         means = cut(topics.means_of(seen, "lang"), "means")
-        small = means.limit(max_cells + 1).count() <= max_cells
-        beside = lambda df: df.join(F.broadcast(means) if small else means, "lang", "left")
+        few = means.limit(max_cells + 1).count() <= max_cells
+        beside = lambda df: df.join(F.broadcast(means) if few else means, "lang", "left")
         centres = topics.learn(beside(seen))
-        seen, rows = (topics.assigned(beside(df), centres) for df in (seen, rows))
+        seen = topics.assigned(beside(seen), centres)
+        if few:
+            rows = topics.labelled(texts, "text_", "lang", {r["lang"]: list(r["mean"]) for r in means.collect()}, centres)
+        else:
+            rows = topics.assigned(beside(topics.profiled(texts, "text_")), centres)
     else:
-        seen, rows = seen.drop("profile"), rows.drop("profile")
+        seen, rows = seen.drop("profile"), topics.profiled(texts, "text_").drop("profile")
     cells = cut(seen.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens")), "cells")
     weights = cut(rake(cells, dims, targets, temperature, sweeps, max_cells), "weights")
     most = weights.agg(F.max("weight")).first()[0] or 1.0

@@ -128,6 +128,26 @@ def assigned(rows: DataFrame, centres: dict[int, list[float]]) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*kept, T.StructField("topic", T.StringType())]))
 
 
+def labelled(rows: DataFrame, text: str, lang: str, means: dict[str, list[float]], centres: dict[int, list[float]]) -> DataFrame:
+    """rows with n_tokens and topic in place of their text: profiled() and assigned() in one, so that a task has one
+    Python worker, for means that were checked to be few."""
+    known = {k: np.array(v) for k, v in means.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(BUCKETS)
+        for b in batches:
+            at = b.schema.get_field_index(text)
+            count, share = profiles_of(b.column(at))
+            mean = np.array([known.get(x, none) for x in b.column(lang).to_pylist()]).reshape(-1, BUCKETS)
+            k = _cluster(share - mean, centres) if centres else np.zeros(b.num_rows, int)
+            names = np.where((count > 0) & bool(centres), np.char.add("t", k.astype(str)), NO_TOPIC)
+            rest = [i for i in range(b.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in rest], pa.array(count, pa.int64()), pa.array(names.tolist(), pa.string())], [*[b.schema.names[i] for i in rest], "n_tokens", "topic"])
+
+    kept = [f for f in rows.schema.fields if f.name != text]
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("topic", T.StringType())]))
+
+
 def topics_sql(rounds: int = ROUNDS) -> list[str]:
     """DuckDB CTEs that give p (doc_id, source, lang, topic, n_tokens) of t (doc_id, source, lang, x, a text)."""
     each = lambda f: "[" + ", ".join(f(i + 1) for i in range(BUCKETS)) + "]"
